@@ -58,8 +58,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
             keys.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one"))
             .groupBy("h1", "h2").agg(F.min("_id").alias("keep"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
         )
+    # h makes the join deal shared anew: adaptive execution can only split the join's own exchanges at a hot key
+    h = F.col("h1").bitwiseXOR(F.col("h2")).alias("h")
     dropped = (
-        keys.join(shared.select("h1", "h2", "keep"), ["h1", "h2"])
+        keys.select("_id", "_th", "pos", h, "h1").join(shared.select(h, "h1", "keep"), ["h", "h1"])
         .where("_id != keep")
         .groupBy("_id", "_th")
         .agg(F.sort_array(F.collect_set("pos")).alias("gone"))
