@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, url_filter
+from . import decontamination, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, url_filter
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.query(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.query(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op4_line_dedup, op6_substring_dedup, op7_quality, op8_url_filter, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_decontamination, op4_line_dedup, op6_substring_dedup, op7_quality, op8_url_filter, op9_mixing, op10_sharding)}
 ORACLE_SQL = {"op4_line_dedup": line_dedup.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
