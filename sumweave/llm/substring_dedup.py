@@ -21,8 +21,9 @@ from .textbytes import Texts, chunks, mix, powers
 
 WINDOW = 35
 GRAM = 8
-#: An anchor with more different segments than this is dealt out by window instead; one entry of a block stays bounded.
-HOT = 1000
+#: An anchor with more different segments than this is dealt out by window instead. So many are 1.2 million words at most
+#: in texts without long periods, about 100 MB while a block of them is parsed.
+HOT = 20_000
 #: Words of segments that one reference block indexes, about.
 BLOCK_WORDS = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -72,9 +73,15 @@ def _scan(window: int, gram: int):
             ids, hashes = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("_id", "_th"))
             for lo, _, t in chunks(b):
                 doc, start, count, anchor, digest = segments(t, window, gram)
+                # equal segments of one text, of which a periodic text has many, are one row
+                order = np.lexsort((start, digest, anchor, doc))
+                d, a, g = doc[order], anchor[order], digest[order]
+                first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (a[1:] != a[:-1]) | (g[1:] != g[:-1]))[: len(d)])
+                own = order[first]
+                starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(start[order].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (anchor.view(np.int64), digest.view(np.int64), ids[lo + doc], hashes[lo + doc], start.astype(np.int32), count.astype(np.int32))],
-                    names=["anchor", "digest", "_id", "_th", "start", "n"],
+                    [*(pa.array(x) for x in (anchor[own].view(np.int64), digest[own].view(np.int64), ids[lo + doc[own]], hashes[lo + doc[own]])), starts, pa.array(count[own].astype(np.int32))],
+                    names=["anchor", "digest", "_id", "_th", "starts", "n"],
                 )
 
     return run
@@ -230,16 +237,16 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """rows: _id, _th, text. Returns _id, _th, gone: the ranges [lo, hi) of words that duplicate windows cover."""
-    segs = written(rows.mapInArrow(_scan(window, gram), "anchor long, digest long, _id long, _th long, start int, n int"))
-    shared = segs.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1")
+    segs = written(rows.mapInArrow(_scan(window, gram), "anchor long, digest long, _id long, _th long, starts array<int>, n int"))
+    shared = segs.groupBy("anchor").agg(F.sum(F.size("starts")).alias("places")).where("places > 1")
     # xored, so that the join deals both sides itself and adaptive execution can split a hot anchor
     near = written(
         segs.withColumn("a", F.col("anchor").bitwiseXOR(F.lit(1))).join(shared.select(F.col("anchor").bitwiseXOR(F.lit(1)).alias("a"), "places"), "a").drop("a")
     )
-    classes = near.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min("places").alias("places"), F.min(F.struct("_id", "_th", "start", "n")).alias("at"))
+    classes = near.groupBy("anchor", "digest").agg(F.sum(F.size("starts")).alias("copies"), F.min("places").alias("places"), F.min(F.struct("_id", "_th", F.get("starts", F.lit(0)).alias("start"), "n")).alias("at"))
     classes = written(classes)
     copied = classes.where("copies > 1").select(F.col("anchor").bitwiseXOR(F.col("digest")).alias("c"), "digest")
-    whole = near.withColumn("c", F.col("anchor").bitwiseXOR(F.col("digest"))).join(copied, ["c", "digest"]).select("_id", "_th", F.col("start").alias("lo"), (F.col("start") + F.col("n") + window - 1).alias("hi"))
+    whole = near.withColumn("c", F.col("anchor").bitwiseXOR(F.col("digest"))).join(copied, ["c", "digest"]).select("_id", "_th", "n", F.explode("starts").alias("lo")).select("_id", "_th", "lo", (F.col("lo") + F.col("n") + window - 1).alias("hi"))
     # a class that holds all places of its anchor has nothing to be parsed against
     open_ = classes.where("copies < places")
     kinds = open_.groupBy("anchor").agg(F.count("*").alias("kinds"))
