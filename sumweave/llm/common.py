@@ -56,3 +56,8 @@ def id_key(c: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for each row."""
     return F.transform(F.array(value), body)[0]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, `row`, so that none clashes with what an operator adds."""
+    return F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row")

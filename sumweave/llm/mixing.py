@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, whole_row, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -150,12 +150,12 @@ def query(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it (0 to 2 times). Rows alike in all columns are numbered together."""
-    cols = docs.columns
-    # struct hashing takes columns of any kind, also those that clash with names here
-    keyed = docs.withColumn("_key", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(*cols).cast("string"), F.xxhash64(F.lit(1), *cols).cast("string")))
-    units = written(keyed.select("_key", F.col("doc_id").cast("long").alias("doc_id"), "source", doc_words(F.col("text")).alias("size")).groupBy("_key", "doc_id", "source", "size").agg(F.count("*").alias("n")))
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(row).cast("string"), F.xxhash64(F.lit(1), row).cast("string"))
+    keyed = docs.select(whole_row(docs), key.alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), "source", doc_words(F.col("text")).alias("size"))
+    units = written(keyed.select("_key", "doc_id", "source", "size").groupBy("_key", "doc_id", "source", "size").agg(F.count("*").alias("n")))
     taken, _ = mix_units(units)
-    times = taken.groupBy("_key").agg(F.sum("times").alias("_t"), F.count("*").alias("_n")).where("_t > 0")
-    hit = keyed.join(times, "_key")
-    alone, alike = hit.where("_n = 1"), hit.where("_n > 1").dropDuplicates(["_key"])
-    return alone.unionByName(alike).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_t")))).select(*cols)
+    times = taken.groupBy("_key").agg(F.sum("times").alias("times"), F.count("*").alias("alike")).where("times > 0")
+    hit = keyed.select("row", "_key").join(times, "_key")
+    alone, alike = hit.where("alike = 1"), hit.where("alike > 1").dropDuplicates(["_key"])
+    return alone.unionByName(alike).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")

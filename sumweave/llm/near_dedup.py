@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, id_key, written
+from .common import LAST_ID, id_key, whole_row, written
 from .components import components
 from .textbytes import Texts, chunks, mix
 
@@ -296,7 +296,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     without words are a class each and stay, but for repeated ones."""
     found, _ = near_duplicates(docs)
     keep = found.where("first").select("_id", "key").distinct()
-    cols = docs.columns
-    rows = docs.withColumns({"__id": id_key(F.col("doc_id")), "__key": F.md5(F.coalesce("text", F.lit("")))})
-    kept = rows.join(keep.select(F.col("_id").alias("__id"), F.col("key").alias("__key")), ["__id", "__key"])
-    return kept.dropDuplicates(["__id", "__key"]).select(*cols)
+    rows = docs.select(whole_row(docs), id_key(F.col("doc_id")).alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    return rows.join(keep, ["_id", "key"]).dropDuplicates(["_id", "key"]).select("row.*")
