@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, id_key, whole_row, written
-from .components import components
+from .components import components_of_few
 from .textbytes import Texts, chunks, mix
 
 SHINGLE = 5
@@ -137,28 +137,32 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of different components from rows in the order of their buckets; a piece at a time."""
 
-    def pairs(keys: np.ndarray, comp: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for lo in range(0, len(keys), 64):
-            like = (codes[lo : lo + 64, None, :] == codes[None, :, :]).mean(2)
-            like[comp[lo : lo + 64, None] == comp[None, :]] = 0
-            if len(keys) > SMALL:
+    def pairs(comp: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # pairs of different components have a side outside of the largest one, which proposes
+        asking = np.flatnonzero(comp != np.bincount(comp).argmax())
+        found = [np.zeros(0, np.int64)]
+        for lo in range(0, len(asking), 64):
+            rows = asking[lo : lo + 64]
+            like = (codes[rows][:, None, :] == codes[None, :, :]).mean(2)
+            like[comp[rows][:, None] == comp[None, :]] = 0
+            if len(comp) > SMALL:
                 far = np.argpartition(-like, NEAREST, axis=1)[:, NEAREST:]
                 np.put_along_axis(like, far, 0, 1)
             i, j = np.nonzero(like >= LEAST)
-            if len(i):
-                yield keys[i + lo], keys[j]
+            i = rows[i]
+            found.append(np.minimum(i, j) * len(comp) + np.maximum(i, j))
+        return np.divmod(np.unique(np.concatenate(found)), len(comp))
 
     def piece(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         codes = _codes(t, "code")
         keys, comp, bucket = (t.column(t.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "comp", "bucket"))
-        comp = np.unique(comp, return_inverse=True)[1]
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         for lo, hi in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
             if hi - lo > 1:
-                for u, v in pairs(keys[lo:hi], comp[lo:hi], codes[lo:hi]):
-                    a, b = np.where(u < v, u, v), np.where(u < v, v, u)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["u", "v"])
+                u, v = (keys[lo:hi][x] for x in pairs(np.unique(comp[lo:hi], return_inverse=True)[1], codes[lo:hi]))
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(u < v, u, v), pa.string()), pa.array(np.where(u < v, v, u), pa.string())], names=["u", "v"])
 
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -216,7 +220,7 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.filter(pa.array(met >= SIMILARITY * (m + n - met) - 1e-9)).select(["u", "v"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _verified(pairs: DataFrame, classes: DataFrame, bags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the pairs that were asked, those of them with the similarity). The payload of a pair is moved once, that of its hub
     only to meet it."""
     kinds = classes.select("key", "code", "size")
@@ -225,14 +229,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[D
         .join(kinds.select(F.col("key").alias("v"), F.col("code").alias("code2"), F.col("size").alias("size2")), "v")
         .select("u", "v", "code", "size", "code2", "size2").mapInArrow(_likely, "u string, v string")
     )
-    needed = asked.select(F.col("u").alias("key")).unionByName(asked.select(F.col("v").alias("key"))).distinct()
-    bag = written(texts.join(needed, "key", "left_semi").mapInArrow(_multisets, "key string, bag binary").groupBy("key").agg(F.first("bag").alias("bag")))
-    met = asked.join(bag.withColumnRenamed("key", "u"), "u").join(bag.select(F.col("key").alias("v"), F.col("bag").alias("bag2")), "v")
+    met = asked.join(bags.withColumnRenamed("key", "u"), "u").join(bags.select(F.col("key").alias("v"), F.col("bag").alias("bag2")), "v")
     return asked, written(met.select("u", "v", "bag", "bag2").mapInArrow(_overlap, "u string, v string"))
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Returns (a row for each row of docs: doc_id, class_id, _id, key, first (whether it stands for its class); the verified links u, v between different texts).
+    """Returns (a row for each row of docs: doc_id, class_id, _id, key, first (whether it stands for its class); the
+    verified links u, v between different texts).
 
     A class is a component of texts linked by a weighted Jaccard similarity of SIMILARITY or more over word shingles, and
     class_id its least doc_id. Equal texts are one text with all its rows. Null texts and such without words have a class
@@ -248,17 +251,20 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select("doc_id", "text").withColumns({"_id": id_key(F.col("doc_id")), "key": F.md5(F.coalesce("text", F.lit("")))})
     signed = written(rows.select("_id", "key", "text").mapInArrow(_sign, "_id long, key string, bands array<long>, code binary, size long"))
     classes = written(signed.where("size > 0").groupBy("key").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"), F.first("code").alias("code"), F.first("size").alias("size")))
-    texts = rows.join(classes.select("key", "_id"), ["key", "_id"], "left_semi").select("key", "text")
     members = classes.select("key", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     near = written(members.withColumn("b", F.col("bucket").bitwiseXOR(F.lit(1))).join(shared.select(F.col("bucket").bitwiseXOR(F.lit(1)).alias("b"), "n"), "b").drop("b"))
+    # one row of each text that shares a bucket; its text is shuffled once, for all rounds
+    chosen = classes.select("key", "_id").join(near.select("key").distinct(), "key", "left_semi")
+    texts = rows.select("_id", "key", "text").join(chosen, ["key", "_id"], "left_semi").select("key", "text")
+    bags = written(texts.mapInArrow(_multisets, "key string, bag binary").groupBy("key").agg(F.first("bag").alias("bag")))
     score = near.groupBy("key").agg(F.sum("n").alias("score"))
     hubs = near.join(score, "key").groupBy("bucket").agg(F.max(F.struct("score", "key")).alias("hub")).select(F.col("bucket").bitwiseXOR(F.lit(1)).alias("b"), F.col("hub.key").alias("hub"))
     pairs = near.withColumn("b", F.col("bucket").bitwiseXOR(F.lit(1))).join(hubs, "b").where("key != hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
-    tested, links = _verified(pairs, classes, texts)
+    tested, links = _verified(pairs, classes, bags)
     tested = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     while True:
-        groups = written(components(links))
+        groups = written(components_of_few(links))
         label = near.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "bucket", "n", F.coalesce("component", "key").alias("comp"))
         mixed = label.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select(F.col("bucket").bitwiseXOR(F.lit(1)).alias("b"))
         open_ = label.withColumn("b", F.col("bucket").bitwiseXOR(F.lit(1))).join(mixed, "b").join(classes.select("key", "code"), "key")
@@ -269,7 +275,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         fresh = written(found.mapInArrow(_propose, "u string, v string").distinct().join(tested, ["u", "v"], "left_anti"))
         if fresh.isEmpty():
             break
-        asked, more = _verified(fresh, classes, texts)
+        asked, more = _verified(fresh, classes, bags)
         tested = tested.unionByName(fresh)
         links = written(links.unionByName(more))
         if more.isEmpty():
