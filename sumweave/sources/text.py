@@ -14,7 +14,7 @@ def read_tbl(spark: SparkSession, path: str, columns: int, unsigned: bool = Fals
     checked: a row that doesn't fit raises."""
     kind = "decimal(20,0)" if unsigned else "bigint"
     schema = ", ".join([*(f"c{i} {kind}" for i in range(columns)), "_end string"])
-    return spark.read.schema(schema).option("sep", "|").option("mode", "FAILFAST").csv(path).select(*(f"c{i}" for i in range(columns)))
+    return spark.read.schema(schema).option("sep", "|").option("mode", "FAILFAST").option("columnPruning", "false").csv(path).select(*(f"c{i}" for i in range(columns)))
 
 
 def write_tbl(df: DataFrame, path: str) -> None:
