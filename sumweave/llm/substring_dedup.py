@@ -25,7 +25,7 @@ GRAM = 8
 #: in texts without long periods, about 100 MB while a block of them is parsed.
 HOT = 20_000
 #: Words of segments that one reference block indexes, about.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 150_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD1342543DE82EF95)
 
@@ -218,8 +218,8 @@ def _hot_windows(window: int):
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         gone = b.column(b.schema.get_field_index("gone"))
-        n_words, n_removed, kept = [], [], []
         for lo, hi, t in chunks(b):
+            n_words, n_removed, kept = [], [], []
             for i in range(lo, hi):
                 words = t[i - lo].split()  # of bytes: splits at the six ASCII blanks
                 n_words.append(len(words))
@@ -232,7 +232,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words = [w for w, x in zip(words, inside.tolist(), strict=True) if not x]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            ids = b.column(b.schema.get_field_index("doc_id")).slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 def duplicate_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
