@@ -21,11 +21,13 @@ from .textbytes import Texts, chunks, mix
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Components of a signature, and rows of a band: at a similarity of 0.8, 1 - (1 - 0.8**4)**16 = 0.9998 share a band.
-SIZE = 64
+#: Components of a signature; bands made of the first of them, and rows of a band: at a similarity of 0.8,
+#: 1 - (1 - 0.8**4)**16 = 0.9998 share a band.
+SIZE = 128
+BANDS = 16
 ROWS = 4
 #: Pairs whose signatures agree in less than this aren't verified: 2.8 standard deviations under SIMILARITY.
-LEAST = 0.66
+LEAST = 0.7
 #: Texts of a bucket that are compared at once; larger buckets are cut into such pieces, differently in each band.
 PIECE = 1024
 #: Up to so many texts of a piece propose all their candidates; above, each proposes its NEAREST.
@@ -92,12 +94,11 @@ def signatures(n: int, doc: np.ndarray, gram: np.ndarray, count: np.ndarray, siz
     return sig.reshape(n, size)
 
 
-def band_hashes(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    n, size = sig.shape
-    h = np.zeros((n, size // rows), np.uint64)
+def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    h = np.zeros((len(sig), bands), np.uint64)
     for j in range(rows):
-        h = mix(h * _ODD + sig[:, j::rows])
-    return mix(h + np.arange(size // rows, dtype=np.uint64))
+        h = mix(h * _ODD + sig[:, j : bands * rows : rows])
+    return mix(h + np.arange(bands, dtype=np.uint64))
 
 
 def _fixed(rows: np.ndarray) -> pa.Array:
