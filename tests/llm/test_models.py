@@ -136,7 +136,7 @@ def brute_targets(sizes):
 
 
 def test_mixing(spark):
-    rows = [(k, "w " * R.randrange(1, 60), f"s{k % 7}") for k in range(3000)] + [(9000 + k, "v v v", "s1") for k in range(400)] + [(5, "dup dup", "s2")] * 300 + [(None, None, None), (None, "one two", None), (8000, "", "ü")]
+    rows = [(k, "w " * R.randrange(1, 60), f"s{k % 7}") for k in range(3000)] + [(9000 + k, "v v v", "s1") for k in range(400)] + [(5000, "dup dup", "s2")] * 300 + [(None, None, None), (None, "one two", None), (8000, "", "ü")]
     docs = documents(spark, rows, "doc_id long, text string, source string")
     got = mixing.query(docs).collect()
     source = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in {r[2] for r in rows}}
