@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .plans.spec import UnknownColumn, UnknownRelation
+from .plans.stats import StatsStore
 
 
 class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark, self._frames = spark, {}
+        self.stats = StatsStore()
 
     def register(self, df: DataFrame, relation: int | None = None, view: bool = False) -> int:
         """Columns are renamed c0, c1, ... by place; integers become longs, decimals decimal(20,0). Without an id the next

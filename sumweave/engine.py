@@ -13,7 +13,6 @@ from .plans.normalize import normalize
 from .plans.parse import parse
 from .plans.planner import JoinPlan, plan
 from .plans.spec import ColumnRef, QuerySpec
-from .plans.stats import StatsStore
 
 
 def render(row: Row | Iterable) -> str:
@@ -28,7 +27,7 @@ class Engine:
     def __init__(self, catalog: Catalog, order: str = "stats", eager: bool = False, zero_is_null: bool = True, allow_cross: bool = False):
         if order not in ("stats", "written"):
             raise ValueError(f"order is stats or written, not {order!r}")
-        self.catalog, self.stats = catalog, StatsStore(catalog)
+        self.catalog = catalog
         self.order, self.eager, self.zero_is_null, self.allow_cross = order, eager, zero_is_null, allow_cross
 
     def spec(self, query: str | QuerySpec) -> QuerySpec:
@@ -46,7 +45,7 @@ class Engine:
         # with two relations there is one order, and Spark picks the sides
         if self.order == "written" or len(spec.relations) < 3 or spec.empty:
             return None
-        return [self.stats.get(r) for r in spec.relations]
+        return [self.catalog.stats.get(r, self.catalog.frame(r), spec.columns_of(b)) for b, r in enumerate(spec.relations)]
 
     def query(self, query: str | QuerySpec, signed: bool = False) -> DataFrame:
         """One row s0, s1, ...: decimal(20,0), or long if signed."""
@@ -58,7 +57,7 @@ class Engine:
             return null_row(spec, frames[0], signed)
         if self.eager:
             return eager_sums(spec, steps, frames, self.zero_is_null, signed)
-        known = {ColumnRef(b, c): s for b, cols in enumerate(stats) for c, s in enumerate(cols)} if stats else None
+        known = {ColumnRef(b, c): s for b, cols in enumerate(stats) for c, s in cols.items()} if stats else None
         return sums(spec, joined(spec, steps, frames), known, self.zero_is_null, signed)
 
     def run(self, query: str | QuerySpec) -> str:

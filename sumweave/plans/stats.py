@@ -28,16 +28,18 @@ def stats_frame(df: DataFrame, exact: bool = False) -> DataFrame:
 
 
 class StatsStore:
-    """Statistics by relation id; each relation is read once, and only if a plan asks."""
-
-    def __init__(self, catalog):
-        self.catalog, self._kept = catalog, {}
-
-    def get(self, relation: int) -> list[ColumnStats]:
-        df = self.catalog.frame(relation)
-        held = self._kept.get(relation)
-        if held is None or held[0] is not df:
-            rows = stats_frame(df).collect()  # a row for each column
-            held = df, [ColumnStats(r["rows"], int(r["low"] or 0), int(r["high"] or 0), max(1, int(r["distinct"]))) for r in sorted(rows, key=lambda r: r["column"])]
-            self._kept[relation] = held
-        return held[1]
+    """Statistics by relation and column. One aggregate reads the columns that a plan asks for and that aren't known yet;
+    they are kept until the relation is registered anew."""
+
+    def __init__(self):
+        self._kept: dict[int, tuple[DataFrame, dict[int, ColumnStats]]] = {}
+
+    def get(self, relation: int, df: DataFrame, columns: list[int]) -> dict[int, ColumnStats]:
+        if relation not in self._kept or self._kept[relation][0] is not df:
+            self._kept[relation] = df, {}
+        known = self._kept[relation][1]
+        missing = [c for c in columns or [0] if c not in known]
+        if missing:
+            rows = stats_frame(df.select(*(f"c{c}" for c in missing))).collect()  # a row for each column
+            known |= {missing[r["column"]]: ColumnStats(r["rows"], int(r["low"] or 0), int(r["high"] or 0), max(1, int(r["distinct"]))) for r in rows}
+        return known

@@ -59,7 +59,7 @@ def test_normalising_keeps_the_rows(filters, value):
 
 
 def stats(rows, *columns):
-    return [ColumnStats(rows, 0, high, distinct) for high, distinct in columns]
+    return {c: ColumnStats(rows, 0, high, distinct) for c, (high, distinct) in enumerate(columns)}
 
 
 def test_small_side_first():
@@ -77,8 +77,8 @@ def test_every_predicate_is_assigned_once():
 
 def test_estimates_stay_finite_for_empty_and_disjoint_inputs():
     spec = normalize(parse("0 1 2|0.0=1.0&1.0=2.0&0.0>500|0.0"))
-    empty = [ColumnStats(0, 0, 0, 1)]
-    assert plan(spec, [stats(10, (9, 10)), empty, [ColumnStats(5, 100, 200, 5)]]).cost >= 0
+    empty = {0: ColumnStats(0, 0, 0, 1)}
+    assert plan(spec, [stats(10, (9, 10)), empty, {0: ColumnStats(5, 100, 200, 5)}]).cost >= 0
 
 
 def test_disconnected():
