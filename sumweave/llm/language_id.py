@@ -24,6 +24,8 @@ MAX_RUN = 24
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
 RUNS = 12_000
+#: Languages that are learned at most; a label beyond them is an error of the labels.
+MAX_LANGS = 1000
 EPOCHS = 4
 BATCH = 256
 #: Runs whose results a worker keeps.
@@ -136,12 +138,13 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray] | None]:
     """(languages, model) from text and lang of labelled documents that aren't held out; (["und"], None) without any."""
-    h = F.xxhash64("doc_id", F.lit(_SEED))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # only ids and hashes are ranked; a partial limit is taken before the shuffle
-    ranked = own.where(F.length("text").between(1, SAMPLE_CHARS)).select("lang", "text", "doc_id", h.alias("h"))
-    sample = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).orderBy("lang", "k").select("lang", "text").collect()
+    own = own.where(F.length("text").between(1, SAMPLE_CHARS)).withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(_SEED)), F.lit(1 << 32)))
+    # counted first, so that about twice the sample is shuffled, whatever the input
+    counts = own.groupBy("lang").agg(F.count("*").cast("decimal(20,0)").alias("n"))
+    near = own.join(F.broadcast(counts.limit(MAX_LANGS)), "lang").where(F.col("h") * F.col("n") < F.lit((2 * SAMPLE_DOCS + 100) << 32))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    sample = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).orderBy("lang", "k").select("lang", "text").collect()
     by: dict[str, list[bytes]] = {}
     for r in sample:
         for word in r["text"].encode().split():
