@@ -20,8 +20,8 @@ PART_OVERLAP = 0.5
 #: BM25's parameters, and postings of a block.
 K1, B = 1.2, 0.75
 POSTINGS = 64
-#: Items and bytes of text that one index holds; more items make more indexes, and each is searched with all passages.
-INDEX_ITEMS, INDEX_BYTES = 20_000, 16 << 20
+#: Items and bytes of text that one index holds (about 100 MB in a worker); more items make more indexes, and each is searched with all passages.
+INDEX_ITEMS, INDEX_BYTES = 20_000, 2 << 20
 #: Words of a passage, or twice the longest item if that is more; passages overlap by half.
 PASSAGE = 128
 #: All ASCII characters but letters and digits part words; letters count without case.
