@@ -26,13 +26,13 @@ SIMILARITY = 0.8
 SIZE = 128
 BANDS = 16
 ROWS = 4
-#: Pairs whose signatures agree in less than this aren't verified: 2.8 standard deviations under SIMILARITY.
+#: A text meets the hub of a bucket only if their signatures agree in so much. Nothing is lost by that: texts that stay in
+#: different components are compared in step 4 whatever their signatures.
 LEAST = 0.7
-#: Texts of a bucket that are compared at once; larger buckets are cut into such pieces, differently in each band.
-PIECE = 1024
-#: Up to so many texts of a piece propose all their candidates; above, each proposes its NEAREST.
-SMALL = 48
-NEAREST = 8
+#: Texts of a bucket, and shingles of these texts, that a cell holds to be met (and, of each again, to ask).
+PIECE = 4096
+PIECE_SHINGLES = 1 << 20
+CELL = ("bucket", "i", "j")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,58 +135,80 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.filter(pa.array(ok)).select(["u", "v"])
 
 
-def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of different components from rows in the order of their buckets; a piece at a time."""
-
-    def pairs(comp: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # pairs of different components have a side outside of the largest one, which proposes
-        asking = np.flatnonzero(comp != np.bincount(comp).argmax())
-        found = [np.zeros(0, np.int64)]
-        for lo in range(0, len(asking), 64):
-            rows = asking[lo : lo + 64]
-            like = (codes[rows][:, None, :] == codes[None, :, :]).mean(2)
-            like[comp[rows][:, None] == comp[None, :]] = 0
-            if len(comp) > SMALL:
-                far = np.argpartition(-like, NEAREST, axis=1)[:, NEAREST:]
-                np.put_along_axis(like, far, 0, 1)
-            i, j = np.nonzero(like >= LEAST)
-            i = rows[i]
-            found.append(np.minimum(i, j) * len(comp) + np.maximum(i, j))
-        return np.divmod(np.unique(np.concatenate(found)), len(comp))
-
-    def piece(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bag(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each bag starts (and the last ends) in the hashes, and the hashes of all."""
+    a = b.column(b.schema.get_field_index(name))
+    offs = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64) // 4
+    return offs, np.frombuffer(a.buffers()[2], np.uint8)[: 4 * offs[-1]].view(np.uint32)
+
+
+def _met(asks: np.ndarray, tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many of the hashes `asks` each of n bags holds; tokens are those of the bags in order, owner the bag of each."""
+    lo, hi = np.searchsorted(tokens, asks, "left"), np.searchsorted(tokens, asks, "right")
+    many = hi - lo
+    at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    return np.bincount(owner[at], minlength=n)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links between different components, from rows in the order of their cells. In each cell, every text that
+    asks is compared with all texts to be met, whole multisets each; what a link has joined isn't compared again."""
+
+    def linked(comp: np.ndarray, role: np.ndarray, offs: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int]]:
+        size, comp = np.diff(offs), comp.copy()
+        to, index = np.flatnonzero(role & 1), None
+        for x in np.flatnonzero(role & 2):
+            m, n = size[x], size[to]
+            may = (comp[to] != comp[x]) & (np.minimum(m, n) >= SIMILARITY * np.maximum(m, n))
+            if not may.any():
+                continue
+            if index is None:
+                tokens = np.concatenate([data[offs[y] : offs[y + 1]] for y in to])
+                order = np.argsort(tokens)
+                index = tokens[order], np.repeat(np.arange(len(to)), n)[order]
+            met = _met(data[offs[x] : offs[x + 1]], *index, len(to))
+            found = to[may & (met >= SIMILARITY * (m + n - met) - 1e-9)]
+            for c, k in zip(*np.unique(comp[found], return_index=True), strict=True):
+                yield x, found[k]
+                comp[comp == c] = comp[x]
+
+    def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        codes = _codes(t, "code")
-        keys, comp, bucket = (t.column(t.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "comp", "bucket"))
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        for lo, hi in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
-            if hi - lo > 1:
-                u, v = (keys[lo:hi][x] for x in pairs(np.unique(comp[lo:hi], return_inverse=True)[1], codes[lo:hi]))
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.where(u < v, u, v), pa.string()), pa.array(np.where(u < v, v, u), pa.string())], names=["u", "v"])
+        keys, comp = t.column(t.schema.get_field_index("key")), t.column(t.schema.get_field_index("comp")).dictionary_encode().indices.to_numpy()
+        role = t.column(t.schema.get_field_index("role")).to_numpy()
+        offs, data = _bag(t, "bag")
+        edges = np.append(_edges(t), len(role))
+        pairs = [(lo + x, lo + y) for lo, hi in zip(edges, edges[1:]) if hi - lo > 1 for x, y in linked(comp[lo:hi], role[lo:hi], offs[lo : hi + 1], data)]
+        if pairs:
+            u, v = (keys.take(pa.array(x, pa.int64())) for x in zip(*pairs, strict=True))
+            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
 
     held: list[pa.RecordBatch] = []
     for b in batches:
-        at = 0
-        bucket = b.column(b.schema.get_field_index("bucket")).to_numpy()
-        while at < len(bucket):
-            # a piece takes whole buckets up to PIECE rows, or PIECE rows of a larger one
-            room = PIECE - sum(x.num_rows for x in held)
-            if len(bucket) - at <= room:
-                held.append(b.slice(at))
-                break
-            stop = at + room
-            edge = np.flatnonzero(bucket[at + 1 : stop + 1] != bucket[at:stop])
-            if len(edge):
-                stop = at + 1 + int(edge[-1])
-            elif held and bucket[at] != held[-1].column(b.schema.get_field_index("bucket"))[-1].as_py():
-                stop = at
-            if stop > at:
-                held.append(b.slice(at, stop - at))
-            yield from piece(held)
-            held, at = [], stop
+        if not b.num_rows:
+            continue
+        # cells before the batch's last one are whole; that may go on in the next batch
+        last = int(_edges(b)[-1])
+        if last or held and _cell(b, 0) != _cell(held[-1], held[-1].num_rows - 1):
+            if held and _cell(b, 0) != _cell(held[-1], held[-1].num_rows - 1):
+                yield from whole(held)
+                held = []
+            if last:
+                yield from whole([*held, b.slice(0, last)])
+                held = []
+        held.append(b.slice(last))
     if held:
-        yield from piece(held)
+        yield from whole(held)
+
+
+def _cell(b: pa.RecordBatch, row: int) -> tuple:
+    return tuple(b.column(b.schema.get_field_index(c))[row].as_py() for c in CELL)
+
+
+def _edges(b: pa.RecordBatch) -> np.ndarray:
+    """The rows where cells begin."""
+    columns = [b.column(b.schema.get_field_index(c)).to_numpy() for c in CELL]
+    return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)))
 
 
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +227,9 @@ def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def items(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-        a = b.column(b.schema.get_field_index(name))
-        offs = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64) // 4
-        data = np.frombuffer(a.buffers()[2], np.uint8).view(np.uint32)[offs[0] : offs[-1]]
+        offs, data = _bag(b, name)
         n = np.diff(offs)
-        return n, (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | data
+        return n, (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | data[offs[0] :]
 
     for big in batches:
         for at in range(0, big.num_rows, 500):
@@ -221,9 +241,9 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.filter(pa.array(met >= SIMILARITY * (m + n - met) - 1e-9)).select(["u", "v"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, bags: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the pairs that were asked, those of them with the similarity). The payload of a pair is moved once, that of its hub
-    only to meet it."""
+def _verified(pairs: DataFrame, classes: DataFrame, bags: DataFrame) -> DataFrame:
+    """The likely ones of the pairs that have the similarity. The payload of a pair is moved once, that of its hub only to
+    meet it."""
     kinds = classes.select("key", "code", "size")
     asked = written(
         pairs.join(kinds.withColumnRenamed("key", "u"), "u")
@@ -231,7 +251,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, bags: DataFrame) -> tuple[Da
         .select("u", "v", "code", "size", "code2", "size2").mapInArrow(_likely, "u string, v string")
     )
     met = asked.join(bags.withColumnRenamed("key", "u"), "u").join(bags.select(F.col("key").alias("v"), F.col("bag").alias("bag2")), "v")
-    return asked, written(met.select("u", "v", "bag", "bag2").mapInArrow(_overlap, "u string, v string"))
+    return written(met.select("u", "v", "bag", "bag2").mapInArrow(_overlap, "u string, v string"))
+
+
+def _compared(near: DataFrame, links: DataFrame, bags: DataFrame) -> DataFrame:
+    """Links between the components that buckets still hold: of each pair of texts in one bucket, unless links join them.
+
+    Texts outside of a bucket's largest component ask all others. The texts of a
+    large bucket are dealt out to cells, and those of one cell meet."""
+    groups = written(components_of_few(links))
+    other = F.col("bucket").bitwiseXOR(F.lit(1)).alias("b")
+    label = near.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "bucket", "size", F.coalesce("component", "key").alias("comp"))
+    parts = label.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "w", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
+    cells = lambda n, w: F.ceil(F.greatest(n / PIECE, w / PIECE_SHINGLES)).cast("int")
+    mixed = mixed.select(other, F.col("top.comp").alias("top"), cells(F.col("n"), F.col("w")).alias("columns"), cells(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("lines"))
+    open_ = label.withColumn("b", other).join(mixed, "b").withColumns({"j": F.expr("pmod(xxhash64(key, 1), columns)"), "i": F.expr("if(comp = top, -1, pmod(xxhash64(key, 2), lines))")})
+    # role 1: to be met; 3: asks, too
+    place = "array(struct(0 as i, int(j) as j, if(i < 0, 1, 3) as role))"
+    placed = open_.select("key", "bucket", "comp", F.expr(f"inline({place})"))
+    rows = placed.join(bags, "key").repartition(*CELL).sortWithinPartitions(*CELL).select("key", *CELL, "role", "comp", "bag")
+    return written(rows.mapInArrow(_compare, "u string, v string").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -246,13 +286,13 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     2. In every band bucket, each text is paired with the bucket's hub: the text that shares most buckets with others.
        So pairs grow with the texts, not with the squares of groups.
     3. Likely pairs are verified on whole multisets; components of the links are found.
-    4. Buckets that still hold several components are searched again: texts propose likely partners of other components,
-       until no new pair comes up.
+    4. In buckets that still hold several components, texts are compared with all those of other components. So every pair
+       that shares a bucket is verified or joined; only pairs without a common bucket are lost.
     """
     rows = docs.select("doc_id", "text").withColumns({"_id": id_key(F.col("doc_id")), "key": F.md5(F.coalesce("text", F.lit("")))})
     signed = written(rows.select("_id", "key", "text").mapInArrow(_sign, "_id long, key string, bands array<long>, code binary, size long"))
     classes = written(signed.where("size > 0").groupBy("key").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"), F.first("code").alias("code"), F.first("size").alias("size")))
-    members = classes.select("key", F.explode("bands").alias("bucket"))
+    members = classes.select("key", "size", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     near = written(members.withColumn("b", F.col("bucket").bitwiseXOR(F.lit(1))).join(shared.select(F.col("bucket").bitwiseXOR(F.lit(1)).alias("b"), "n"), "b").drop("b"))
     # one row of each text that shares a bucket; its text is shuffled once, for all rounds
@@ -262,25 +302,9 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     score = near.groupBy("key").agg(F.sum("n").alias("score"))
     hubs = near.join(score, "key").groupBy("bucket").agg(F.max(F.struct("score", "key")).alias("hub")).select(F.col("bucket").bitwiseXOR(F.lit(1)).alias("b"), F.col("hub.key").alias("hub"))
     pairs = near.withColumn("b", F.col("bucket").bitwiseXOR(F.lit(1))).join(hubs, "b").where("key != hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
-    tested, links = _verified(pairs, classes, bags)
-    tested = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    while True:
-        groups = written(components_of_few(links))
-        label = near.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "bucket", "n", F.coalesce("component", "key").alias("comp"))
-        mixed = label.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select(F.col("bucket").bitwiseXOR(F.lit(1)).alias("b"))
-        open_ = label.withColumn("b", F.col("bucket").bitwiseXOR(F.lit(1))).join(mixed, "b").join(classes.select("key", "code"), "key")
-        # rows of a bucket that is cut into pieces are ordered by signature, other bytes first in each bucket
-        open_ = open_.withColumn("o", F.expr(f"concat(substring(code, cast(1 + pmod(bucket, {SIZE}) as int)), code)"))
-        part = F.when(F.col("n") > 4 * PIECE, F.substring("o", 1, 1))
-        found = open_.repartition("bucket", part).sortWithinPartitions("bucket", "o").select("key", "bucket", "comp", "code")
-        fresh = written(found.mapInArrow(_propose, "u string, v string").distinct().join(tested, ["u", "v"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        asked, more = _verified(fresh, classes, bags)
-        tested = tested.unionByName(fresh)
-        links = written(links.unionByName(more))
-        if more.isEmpty():
-            break  # the components stay, so the proposals would too
+    links = _verified(pairs, classes, bags)
+    links = written(links.unionByName(_compared(near, links, bags)))
+    groups = written(components_of_few(links))
     ids = classes.select("key", "_id").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = ids.groupBy("component").agg(F.min(F.struct(F.col("_id").alias("class"), F.col("key").alias("of"))).alias("least"))
     member = ids.join(least, "component").select("key", "least")

@@ -99,6 +99,46 @@ def test_signatures_estimate_weighted_jaccard():
         assert abs((sig[0] == sig[1]).mean() - want) < 0.06, want
 
 
+def family(n, q=17, together=12):
+    """n texts of one template, all below 0.8 to each other (about 0.75), but of every `together` texts two are at 0.80 or
+    a bit more. Each has q edits at the points of its own polynomial, so no two texts share many places."""
+    rows, r = [], random.Random(5)
+    for i, code in enumerate(r.sample(range(q**3), n)):
+        text = [f"t{k}" for k in range(5 * q * q)]
+        for g in range(q):
+            of = before if i % together == 1 and g >= 13 else (i, code)
+            p = 5 * (g * q + (of[1] + of[1] // q * g + of[1] // q**2 * g * g) % q)
+            text[p : p + 2] = f"e{of[0]}x{p}", f"f{of[0]}x{p}"
+        before = i, code
+        rows.append((i, " ".join(text)))
+    r.shuffle(rows)
+    return rows
+
+
+def family_classes(rows):
+    """As brute_classes, for texts whose shingles are all different: overlaps as a matrix product."""
+    bags = [shingles(t) for _, t in rows]
+    assert all(max(b.values()) == 1 for b in bags)
+    place = {g: k for k, g in enumerate(g for g, n in Counter(g for b in bags for g in b).items() if n > 1)}
+    held = np.zeros((len(rows), len(place)), np.float32)
+    for i, b in enumerate(bags):
+        held[i, [place[g] for g in b if g in place]] = 1
+    met, size = held @ held.T, np.array([len(b) for b in bags])
+    near, least = met >= 0.8 * (size[:, None] + size - met) - 1e-3, np.array([d for d, _ in rows])
+    while True:
+        then = np.where(near, least[None, :], 10**9).min(1)
+        if (then == least).all():
+            return {d: c for (d, _), c in zip(rows, least.tolist(), strict=True)}
+        least = then
+
+
+def test_many_candidates_just_below_the_similarity(spark):
+    rows = family(400)
+    want = family_classes(rows)
+    assert 350 < len(set(want.values())) < 380
+    assert {r["doc_id"]: r["class_id"] for r in nd.query(documents(spark, rows)).collect()} == want
+
+
 def brute_windows(rows, width=35):
     split = [(i, (t or "").encode().split()) for i, t in rows]
     counts = Counter(tuple(w[j : j + width]) for _, w in split for j in range(len(w) - width + 1))
