@@ -257,8 +257,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, bags: DataFrame) -> DataFram
 def _compared(near: DataFrame, links: DataFrame, bags: DataFrame) -> DataFrame:
     """Links between the components that buckets still hold: of each pair of texts in one bucket, unless links join them.
 
-    Texts outside of a bucket's largest component ask all others. The texts of a
-    large bucket are dealt out to cells, and those of one cell meet."""
+    Texts outside of a bucket's largest component ask all others. A large bucket is a grid of cells: texts to be met are
+    dealt out to columns and those that ask to rows, and cell (i, j) compares the askers of row i with the texts of
+    column j; so every pair meets, and no cell grows with its bucket."""
     groups = written(components_of_few(links))
     other = F.col("bucket").bitwiseXOR(F.lit(1)).alias("b")
     label = near.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "bucket", "size", F.coalesce("component", "key").alias("comp"))
@@ -267,8 +268,9 @@ def _compared(near: DataFrame, links: DataFrame, bags: DataFrame) -> DataFrame:
     cells = lambda n, w: F.ceil(F.greatest(n / PIECE, w / PIECE_SHINGLES)).cast("int")
     mixed = mixed.select(other, F.col("top.comp").alias("top"), cells(F.col("n"), F.col("w")).alias("columns"), cells(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("lines"))
     open_ = label.withColumn("b", other).join(mixed, "b").withColumns({"j": F.expr("pmod(xxhash64(key, 1), columns)"), "i": F.expr("if(comp = top, -1, pmod(xxhash64(key, 2), lines))")})
-    # role 1: to be met; 3: asks, too
-    place = "array(struct(0 as i, int(j) as j, if(i < 0, 1, 3) as role))"
+    # role 1: to be met, in each line of cells; 2: asks, in each column; 3: both in this cell
+    place = "transform(sequence(0, lines - 1), x -> struct(int(x) as i, int(j) as j, if(x = i, 3, 1) as role))"
+    place = f"concat({place}, if(i < 0, array(), transform(filter(sequence(0, columns - 1), x -> x != j), x -> struct(int(i) as i, int(x) as j, 2 as role))))"
     placed = open_.select("key", "bucket", "comp", F.expr(f"inline({place})"))
     rows = placed.join(bags, "key").repartition(*CELL).sortWithinPartitions(*CELL).select("key", *CELL, "role", "comp", "bag")
     return written(rows.mapInArrow(_compare, "u string, v string").distinct())

@@ -139,6 +139,15 @@ def test_many_candidates_just_below_the_similarity(spark):
     assert {r["doc_id"]: r["class_id"] for r in nd.query(documents(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("piece", [nd.PIECE, 100])
+def test_bucket_of_many_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(nd, "PIECE", piece)
+    rows = family(1300)
+    want = family_classes(rows)
+    assert 1150 < len(set(want.values())) < 1250
+    assert {r["doc_id"]: r["class_id"] for r in nd.query(documents(spark, rows)).collect()} == want
+
+
 def brute_windows(rows, width=35):
     split = [(i, (t or "").encode().split()) for i, t in rows]
     counts = Counter(tuple(w[j : j + width]) for _, w in split for j in range(len(w) - width + 1))
