@@ -148,6 +148,21 @@ def test_bucket_of_many_pieces(spark, monkeypatch, piece):
     assert {r["doc_id"]: r["class_id"] for r in nd.query(documents(spark, rows)).collect()} == want
 
 
+def test_links_that_signatures_underestimate(spark):
+    pairs = []
+    for _ in range(4000):
+        words = [f"w{R.randrange(10**9)}" for _ in range(94)]
+        pair = " ".join(words), " ".join(f"x{R.randrange(10**9)}" if p in (15, 45) else w for p, w in enumerate(words))
+        pairs.append(pair)
+    t = texts_of([x for p in pairs for x in p])
+    sig = nd.signatures(t.n, *nd.bags(t))
+    code, bands = (sig & np.uint64(255)), nd.band_hashes(sig)
+    odd = [k for k in range(len(pairs)) if (code[2 * k] == code[2 * k + 1]).mean() < 0.7 and (bands[2 * k] == bands[2 * k + 1]).any()]
+    assert odd and all(similarity(*map(shingles, pairs[k])) >= 0.8 for k in odd)
+    got = nd.query(documents(spark, [(2 * k + j, pairs[k][j]) for k in odd for j in (0, 1)])).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in got} == {(2 * k + j, 2 * k) for k in odd for j in (0, 1)}
+
+
 def brute_windows(rows, width=35):
     split = [(i, (t or "").encode().split()) for i, t in rows]
     counts = Counter(tuple(w[j : j + width]) for _, w in split for j in range(len(w) - width + 1))
