@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, let, written
 from .components import components
 
 #: (action, host and path) of the rules that the query applies.
@@ -28,11 +28,35 @@ def path(url: Column) -> Column:
     return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def _plain(p: Column) -> Column:
+    """A path without the segments . and .. (RFC 3986, 5.2.4)."""
+    kept = F.aggregate(
+        F.split(p, "/"), F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.when(p.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), F.when(p.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(p)
+
+
 def node(url: Column) -> Column:
-    """A url without its fragment, which no server sees; scheme and host in lower case. Null without a ://."""
+    """A url without its fragment, which no server sees, and dot segments; scheme and host in lower case. Null without a ://."""
     scheme = ascii_lower(F.substring_index(url, "://", 1))
-    tail = F.regexp_extract(_rest(url), r"^[^/?#]*([^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host(url), tail))
+    query_ = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)?", 1)
+    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host(url), let(path(url), _plain), query_))
+
+
+def resolved(base: Column, ref: Column) -> Column:
+    """The url that a reference on a page with the url `base` leads to (RFC 3986, 5.2.2, but for dot segments)."""
+    scheme = F.substring_index(base, "://", 1)
+    origin = F.concat(scheme, F.lit("://"), F.regexp_extract(_rest(base), r"^([^/?#]*)", 1))
+    folder = F.regexp_extract(path(base), r"(?s)^(.*/)", 1)
+    return (
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+        .when(F.startswith(ref, F.lit("//")), F.concat(scheme, F.lit(":"), ref))
+        .when(F.startswith(ref, F.lit("/")), F.concat(origin, ref))
+        .when(F.startswith(ref, F.lit("?")), F.concat(origin, path(base), ref))
+        .when((ref == "") | F.startswith(ref, F.lit("#")), base)
+        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), ref))
+    )
 
 
 def _matched(pages: DataFrame, rules) -> DataFrame:
@@ -59,17 +83,25 @@ def _matched(pages: DataFrame, rules) -> DataFrame:
     return pages.join(found, ["host", "path"], "left").withColumns({"rule": F.col("best.rule"), "action": F.col("best.action")}).drop("best")
 
 
+def _targets(html: Column, tag: str, value: str) -> Column:
+    """The value in each such tag of the html, with its &amp; decoded."""
+    found = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(1)), lambda t: F.regexp_extract(t, value, 1))
+    return F.transform(F.filter(found, lambda x: x != ""), lambda x: F.regexp_replace(x, r"(?i)&(amp|#0*38|#x0*26);", "&"))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """Edges (u, v) from a page to its canonical url and to where it refreshes, as absolute urls' nodes."""
-    html, here = F.col("html"), node(F.col("url"))
-    tag = F.regexp_extract(html, r"(?i)<link\b([^>]*\brel\s*=\s*[\"']?canonical\b[^>]*)>", 1)
-    turn = F.regexp_extract(html, r"(?i)<meta\b([^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*)>", 1)
-    to = F.array(F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.regexp_extract(turn, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    origin = F.concat(ascii_lower(F.substring_index(F.col("url"), "://", 1)), F.lit("://"), host(F.col("url")))
+    """Edges (u, v) from a page to its canonical urls and to where it refreshes, as absolute urls' nodes. Relative ones
+    start from the page's <base>, or from its url."""
+    html, url = F.col("html"), F.col("url")
+    href = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+    canonical = _targets(html, r"(?i)<link\b([^>]*\brel\s*=\s*[\"']?canonical\b[^>]*)>", href)
+    refresh = _targets(html, r"(?i)<meta\b([^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*)>", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)")
+    base = F.get(_targets(html, r"(?i)<base\b([^>]*)>", href), F.lit(0))
     return (
-        pages.where(html.rlike(r"(?i)<link\b[^>]*\bcanonical\b|<meta\b[^>]*\brefresh\b") & here.isNotNull())
-        .select(here.alias("u"), origin.alias("o"), F.explode(to).alias("to"))
-        .select("u", node(F.when(F.startswith("to", F.lit("//")), F.concat(F.substring_index("o", "//", 1), "to")).when(F.startswith("to", F.lit("/")), F.concat("o", "to")).otherwise(F.col("to"))).alias("v"))
+        pages.where(html.rlike(r"(?i)<link\b[^>]*\bcanonical\b|<meta\b[^>]*\brefresh\b") & node(url).isNotNull())
+        .select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("to"))
+        .select("url", let(F.coalesce(let(resolved(url, F.col("base")), lambda x: F.when(F.instr(x, "://") > 0, x)), url), lambda x: let(resolved(x, F.col("to")), node)).alias("v"))
+        .select(node(url).alias("u"), "v")
         .where("u is not null and v is not null and u != v")
     )
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import urljoin
 
 import pytest
 
@@ -100,6 +101,29 @@ def test_urls(spark):
     assert (got[2]["host"], got[2]["path"]) == ("www.example.net", "/en/1") and (got[6]["host"], got[6]["path"], got[8]["path"]) == ("", "", "")
 
 
+def test_forms_of_links(spark):
+    here = "HTTP://U.test/a/b/1.html?x=1#top"
+    refs = ["2.html", "../x", "../../../y", "./z/", "..", "?p=2", "de/1", "/r/./s/../t", "//V.test/q", "http://w.test/../k#f", "a?u=http://z.test/", "?a=1&b=2", "mailto:a@b.test", "#end"]
+    want = {}
+    for k, ref in enumerate(refs):
+        to = urljoin("http://u.test/a/b/1.html?x=1", ref).partition("#")[0].replace("V.test", "v.test").replace("w.test/../", "w.test/")
+        want[ref] = to if "://" in to and to != "http://u.test/a/b/1.html?x=1" else None
+    for form in ("<link rel=canonical href='%s'>", '<META http-equiv="refresh" content="0; URL=%s">'):
+        for ref in refs:
+            page = spark.createDataFrame([(1, here, form % ref.replace("&", "&amp;"))], "page_id long, url string, html string")
+            assert [r["v"] for r in url_filter.links(page).collect()] == [x for x in [want[ref]] if x], ref
+    many = "<base href='/c/'><link rel=canonical href=1><link rel=canonical href=../2><meta http-equiv=refresh content='0;url=3'><meta http-equiv=refresh content='1;url=//v.test'>"
+    got = url_filter.links(spark.createDataFrame([(1, here, many), (2, "http://e.test", "<link rel=canonical href=k>")], "page_id long, url string, html string"))
+    first = {"http://u.test/c/1", "http://u.test/2", "http://u.test/c/3", "http://v.test"}
+    assert {(r["u"], r["v"]) for r in got.collect()} == {("http://u.test/a/b/1.html?x=1", v) for v in first} | {("http://e.test", "http://e.test/k")}
+
+
+def test_blocks_spread_over_relative_links(spark):
+    rows = [(1, "http://u.test/a/1", "<meta http-equiv=refresh content='0;url=2.html'>"), (2, "http://u.test/a/2.html", "<link rel=canonical href=http://u.test/c><link rel=canonical href='//b.net/?x=1&amp;y=2'>"), (3, "http://b.net/?x=1&y=2", None), (4, "http://u.test/c", None)]
+    got = url_filter.query(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == dict.fromkeys((1, 2, 3, 4), "block")
+
+
 def test_many_rules_are_joined(spark):
     rules = [*url_filter.RULES, *(("block", f"h{k}.test/") for k in range(url_filter.MANY_RULES))]
     pages = spark.createDataFrame([*PAGES, (20, "http://a.h7.test/q", None)], "page_id long, url string, html string")
