@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +23,7 @@ K1, B = 1.2, 0.75
 POSTINGS = 64
 #: Items and bytes of text that one index holds (about 100 MB in a worker); more items make more indexes, and each is searched with all passages.
 INDEX_ITEMS, INDEX_BYTES = 20_000, 2 << 20
-#: Words of a passage, or twice the longest item if that is more; passages overlap by half.
+#: Words of a passage, or twice the longest item if that is more; a passage may start at any word.
 PASSAGE = 128
 #: All ASCII characters but letters and digits part words; letters count without case.
 _PARTS = np.arange(256) < 128
@@ -56,8 +57,9 @@ class Index:
     words: int = 0
 
     @staticmethod
-    def build(items: list[tuple]) -> Index:
-        out = Index()
+    def build(items: list[tuple], words: int = 0) -> Index:
+        """words: of the longest item of all indexes, so that passages don't depend on how items are dealt out."""
+        out = Index(words=words)
         t = _texts([x or "" for _, x in items])
         tails = _texts([_tail(x or "") for _, x in items])
         bags, sizes = [], set()
@@ -165,43 +167,76 @@ class Index:
             size.append(np.full(ok.sum(), k))
         return np.concatenate(at), np.concatenate(term), np.concatenate(size)
 
+    def _held(self, item: int, terms: list[int], starts: list[int], ends: list[int], width: int) -> tuple:
+        """(overlap, score, question's overlap, answer's) of the best window of so many words that verifies, or ()."""
+        own, answer = self.item_terms[item]
+        part = dict(zip(own.tolist(), answer.tolist(), strict=True))
+        whole = [int((~answer).sum()), int(answer.sum())]
+        least, met, best, to = OVERLAP * len(own) - 1e-9, [0, 0], (), 0
+        many: dict[int, int] = {}
+        if len(set(terms)) < least:
+            return ()
+        for k, at in enumerate(starts):
+            grown = k == 0
+            while to < len(terms) and ends[to] <= at + width:
+                x = terms[to]
+                many[x] = many.get(x, 0) + 1
+                if many[x] == 1:
+                    met[part[x]] += 1
+                    grown = True
+                to += 1
+            if grown and sum(met) >= least:
+                parts = [m / n if n else 1.0 for m, n in zip(met, whole, strict=True)]
+                if min(parts) >= PART_OVERLAP and (not best or sum(met) / len(own) >= best[0]):
+                    score = sum(self._weight(x, item) for x, n in many.items() if n)
+                    best = max(best, (sum(met) / len(own), score, parts[0], parts[1]))
+            many[terms[k]] -= 1
+            if not many[terms[k]]:
+                met[part[terms[k]]] -= 1
+        return best
+
+    def _weight(self, term: int, item: int) -> float:
+        items, weights = self.postings[term][:2]
+        return weights[bisect_left(items, item)]
+
     def matches(self, t: Texts) -> list[tuple[int, int, float, float, float, float]]:
-        """(text, item, score, overlap, question's, answer's) of each text's best passage for each item that verifies."""
+        """(text, item, score, overlap, question's, answer's) of each text's best passage, wherever it starts, for each item that verifies."""
         at, term, size = self.hits(t)
         if not len(at):
             return []
         step = max(PASSAGE, 2 * self.words) // 2
         doc, word = t.doc[at], at - t.first[t.doc[at]]
-        # a term is in the passages that start step words apart and hold all of it: two at most
+        # searched are passages of three steps, a step apart, as each window of two steps is within one, wherever it starts
         last = word // step
-        rows = np.concatenate([np.arange(len(at)), np.flatnonzero((last > 0) & (word + size <= (last + 1) * step))])
-        passage = np.concatenate([last, last[rows[len(at) :]] - 1])
-        keys = np.unique(np.stack([doc[rows], passage, term[rows]], 1), axis=0)
-        cut = np.flatnonzero(np.append(True, (keys[1:, :2] != keys[:-1, :2]).any(1)))
+        rows, back = np.tile(np.arange(len(at)), 3), np.repeat(np.arange(3), len(at))
+        fits = (last[rows] >= back) & (word[rows] + size[rows] <= (last[rows] - back + 3) * step)
+        rows, passage = rows[fits], (last[rows] - back)[fits]
+        order = np.lexsort([word[rows], passage, doc[rows]])
+        rows, passage = rows[order], passage[order]
+        cut = np.flatnonzero(np.append(True, (np.diff(doc[rows]) != 0) | (np.diff(passage) != 0)))
         best: dict[tuple[int, int], tuple] = {}
-        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True):
-            terms = keys[lo:hi, 2]
-            for item, score in self.search(terms.tolist()):
-                own, answer = self.item_terms[item]
-                met = np.isin(own, terms, assume_unique=True)
-                parts = [met[x].mean() if x.any() else 1.0 for x in (~answer, answer)]
-                if met.sum() >= OVERLAP * len(own) - 1e-9 and min(parts) >= PART_OVERLAP:
-                    key = (int(keys[lo, 0]), item)
-                    best[key] = max(best.get(key, ()), (float(met.mean()), float(score), float(parts[0]), float(parts[1])))
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
+            terms, start = term[rows[lo:hi]], word[rows[lo:hi]]
+            for item, _ in self.search(np.unique(terms).tolist()):
+                own = np.isin(terms, self.item_terms[item][0])
+                if held := self._held(item, terms[own].tolist(), start[own].tolist(), (start + size[rows[lo:hi]])[own].tolist(), 2 * step):
+                    key = (int(doc[rows[lo]]), item)
+                    best[key] = max(best.get(key, ()), held)
         return [(doc, item, b[1], b[0], b[2], b[3]) for (doc, item), b in sorted(best.items())]
 
 
 def indexes(items: DataFrame) -> Iterator[Index]:
     """Bounded indexes over all items, read in the order of their ids and texts."""
     held, size = [], 0
+    words = items.agg(F.max(F.regexp_count("text", F.lit(r"(?:[A-Za-z0-9]|[^\x00-\x7F])+")))).first()[0] or 0
     for r in items.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         held.append((r["item_id"], r["text"]))
         size += len(r["text"].encode())
         if len(held) >= INDEX_ITEMS or size >= INDEX_BYTES:
-            yield Index.build(held)
+            yield Index.build(held, words)
             held, size = [], 0
     if held:
-        yield Index.build(held)
+        yield Index.build(held, words)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -224,6 +224,17 @@ def test_many_indexes_find_the_same(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in dc.query(rows, items).collect()) == one
 
 
+def test_items_with_gaps_at_any_offset(spark, monkeypatch):
+    question, answer = some_text(45), some_text(15)
+    items = spark.createDataFrame([(1, f"{question}\n{answer}"), (2, some_text(20))], "item_id long, text string")
+    # 60 words over 90 hold the item wherever they start, and over 150 they don't; the step is 64
+    rows = [(k, f"{some_text(k)} {question} {some_text(30)} {answer} {some_text(100)}") for k in range(1, 130)]
+    rows += [(1000 + k, f"{some_text(k)} {question} {some_text(90)} {answer} {some_text(100)}") for k in range(1, 130)]
+    for many in (dc.INDEX_ITEMS, 1):
+        monkeypatch.setattr(dc, "INDEX_ITEMS", many)
+        assert sorted(r["doc_id"] for r in dc.query(documents(spark, rows), items).where("item_id = 1").collect()) == list(range(1, 130))
+
+
 def test_wand_finds_all():
     index = dc.Index.build([*ITEMS[:40], *((100 + k, ITEMS[k % 7][1] + " " + ITEMS[k % 5][1]) for k in range(300))])
     for _ in range(150):
