@@ -2,10 +2,12 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sumweave.llm import language_id as li
@@ -57,14 +59,58 @@ def test_edits_of_trees():
 def test_language_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(float) for k, v in li._init(rng, 3, 5).items()}
-    x, y = rng.integers(97, 110, (4, 6)), np.array([0, 1, 2, 1])
+    x, y = rng.integers(97, 110, (6, 4)), np.array([0, 1, 2, 1])
+    x[4:, 1] = li.EDGE
     _, g = li.gradients(p, x, y)
     for k, v in p.items():
-        i = (int(x[0, 0]), 3) if k[0] == "x" else tuple(rng.integers(0, s) for s in v.shape)
-        up, down = ({a: b.copy() for a, b in p.items()} for _ in range(2))
-        up[k][i] += 1e-3
-        down[k][i] -= 1e-3
-        assert abs((li.gradients(up, x, y)[0] - li.gradients(down, x, y)[0]) / 2e-3 - g[k][i]) < 1e-4
+        places = [(int(x[0, 0]), 3), (int(x[3, 1]), 12)] if k[0] == "x" else [tuple(rng.integers(0, s) for s in v.shape) for _ in range(3)]
+        for i in places:
+            up, down = ({a: b.copy() for a, b in p.items()} for _ in range(2))
+            up[k][i] += 1e-3
+            down[k][i] -= 1e-3
+            assert abs((li.gradients(up, x, y)[0] - li.gradients(down, x, y)[0]) / 2e-3 - g[k][i]) < 1e-4
+
+
+def plain_labels(p, x):
+    """Probabilities at each position of one sequence, a number at a time."""
+    size = len(p["hf"])
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    states = {}
+    for d, places in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        h, states[d] = [0.0] * size, {}
+        for t in places:
+            a, u = p["x" + d][x[t]], [sum(h[i] * p["h" + d][i, j] for i in range(size)) for j in range(3 * size)]
+            r, z = ([sig(a[g * size + i] + u[g * size + i]) for i in range(size)] for g in (0, 1))
+            new = [np.tanh(a[2 * size + i] + r[i] * u[2 * size + i]) for i in range(size)]
+            h = [(1 - z[i]) * new[i] + z[i] * h[i] for i in range(size)]
+            states[d][t] = h
+    out = []
+    for t in range(len(x)):
+        e = np.exp([sum(v * p["out"][i, k] for i, v in enumerate(states["f"][t] + states["b"][t])) + p["bias"][k] for k in range(len(p["bias"]))])
+        out.append(e / e.sum())
+    return np.array(out)
+
+
+def test_labels_against_a_plain_loop():
+    from .test_search import texts_of
+
+    rng = np.random.default_rng(1)
+    p = {k: v.astype(float) for k, v in li._init(rng, 3, 4).items()}
+    x = np.array([li.EDGE, *b"ab c d", li.EDGE, li.EDGE])
+    assert np.abs(li.label(p, x[:, None])[:, :, 0] - plain_labels(p, x)).max() < 1e-9
+    # a label hardly depends on what is further away than the context, and a text's result not on its neighbours
+    texts = ["x", "", "Some words, \t of a text " * 40, "é ü ß " * 3, "y" * (li.CORE + 1), "z" * li.CORE]
+    alone = np.concatenate([li.pooled(p, texts_of([t])) for t in texts])
+    assert np.abs(li.pooled(p, texts_of(texts)) - alone).max() < 1e-9
+    for t, got in zip(texts, alone, strict=True):
+        want = plain_labels(p, np.array(list(t.encode().lower()), int)).mean(0) if t else 0
+        assert np.abs(got - want).max() < (1e-9 if len(t.encode()) <= li.CORE else 1e-3), t
+
+
+def test_held_out_is_the_checksum(spark):
+    ids = [None, 0, 1, -5, *range(10**9, 10**9 + 200)]
+    got = spark.createDataFrame([(k,) for k in ids], "doc_id long").select("doc_id", li.held_out(F.col("doc_id")).alias("h")).collect()
+    assert {r["doc_id"]: r["h"] for r in got} == {k: k is not None and zlib.crc32(str(k).encode()) % 5 == 0 for k in ids}
 
 
 def test_language_accuracy_on_held_out_documents(spark):
@@ -76,10 +122,20 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert 0.1 < len(held) / len(got) < 0.3 and sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) > 0.97 * len(held)
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    de, en = "der die das und nicht ", "the thing and the other "
+    rows = [(k, de * 1300 if k % 2 else en * 3, "de" if k % 2 else "en") for k in range(80)] + [(200 + k, de * 3, None) for k in range(10)]
+    rows += [(300 + k, "el que de la en los " * 4, "es") for k in range(6)] + [(400 + k, "漢字 仮名 漢 " * 9, "ja") for k in range(6)]
+    got = li.query(documents(spark, rows, "doc_id long, text string, lang string")).collect()
+    want = {r[0]: r[2] or "de" for r in rows}
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == want
+
+
 def test_language_edge_rows(spark):
-    schema = "doc_id long, text string, lang string, score string"
-    rows = [(k, "the thing and the other " * 5 if k % 2 else "der die das und nicht " * 5, "en" if k % 2 else "de", "x") for k in range(60)]
-    odd = [(100, None, "en", "x"), (101, "123 !?", None, "x"), (None, "the thing and the other", None, "x"), (102, "", "de", "x"), (103, "der" * 3000, None, "x")]
+    schema = "doc_id long, text string, lang string, score string, held_out int, h string, windows int"
+    odd_columns = ("x", 1, "y", 2)
+    rows = [(k, "the thing and the other " * 5 if k % 2 else "der die das und nicht " * 5, "en" if k % 2 else "de", *odd_columns) for k in range(60)]
+    odd = [(d, t, x, *odd_columns) for d, t, x in [(100, None, "en"), (101, "123 !?", None), (None, "the thing and the other", None), (102, "", "de"), (103, "der" * 300_000, None), (7, rows[7][1], "en")]]
     docs = documents(spark, rows + odd, schema)
     got = {r["doc_id"]: r for r in li.query(docs).collect()}
     assert [got[k]["lang_pred"] for k in (100, 101, 102)] == ["und"] * 3 and got[100]["score"] == 0
