@@ -245,7 +245,7 @@ def test_pipeline_query(spark):
     assert first and sorted(map(repr, first)) == sorted(map(repr, again))
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op8_url_filter"])
+@pytest.mark.parametrize("name", ["op4_line_dedup", "op6_substring_dedup", "op8_url_filter"])
 def test_registered_sql(spark, name):
     import duckdb
 

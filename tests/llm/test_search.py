@@ -177,16 +177,52 @@ def brute_windows(rows, width=35):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [sd.HOT, 1])
-def test_substrings(spark, monkeypatch, hot):
+@pytest.mark.parametrize("most", [sd.ENTRIES, 1])
+def test_substrings(spark, monkeypatch, most):
     p = [some_text(60) for _ in range(4)]
     rows = [(None, None), (1, ""), (2, "x " * 200), (3, "x " * 40), (4, "a b " * 100), (5, p[0]), (5, p[0]), (6, f"q {p[1][:150]} z {p[1]}"), (7, f"{p[2]}\n\t{p[2]}"), (8, " ".join(p)), (None, p[3]), (9, "y " * 34), (10, "y " * 35)]
     rows += [(20 + k, f"{some_text(R.randrange(40))} {p[k % 2]} {some_text(30)}") for k in range(30)] + [(60, some_text(36)), (61, p[0].upper())]
+    # phrases of 8 to 36 words in many contexts; some windows around them occur twice
+    for n in (8, 20, 30, 34, 35, 36):
+        phrase, ends = some_text(n), [(some_text(30), some_text(30)) for _ in range(8)]
+        rows += [(100 * n + k, f"{some_text(9)} {a} {phrase} {b} {some_text(9)}") for k, (a, b) in enumerate(ends + [(ends[0][0], ends[1][1]), (ends[2][0], some_text(30)), (some_text(30), ends[3][1])])]
     whole = sd.duplicate_ranges
-    monkeypatch.setattr(sd, "duplicate_ranges", lambda df, window=35: whole(df, window, hot=hot))
+    monkeypatch.setattr(sd, "duplicate_ranges", lambda df, window=35: whole(df, window, most=most))
     assert sorted(map(tuple, sd.query(documents(spark, rows)).collect()), key=repr) == brute_windows(rows)
 
 
+def test_factors_are_greedy():
+    r = random.Random(1)
+    for _ in range(200):
+        entries = [[r.randrange(2) for _ in range(r.randrange(3, 12))] for _ in range(r.randrange(1, 6))]
+        words, offs = np.array([w for e in entries for w in e], np.uint64), np.concatenate([[0], np.cumsum([len(e) for e in entries])])
+        copies = np.array([r.choice([1, 1, 1, 2]) for _ in entries])
+        places = [(k, i) for k, e in enumerate(entries) for i in range(len(e))]
+
+        def alike(x, y):
+            a, b = entries[x[0]][x[1] :], entries[y[0]][y[1] :]
+            return next((n for n, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+
+        want = {x: max([alike(x, y) for y in places if y != x] + [0]) for x in places}
+        assert sd.matches(words, offs).tolist() == list(want.values())
+        spans = []
+        for k, e in enumerate(entries):
+            i = 0
+            while i + 3 <= len(e):
+                n = len(e) - i if copies[k] > 1 else want[k, i]
+                if n >= 3:
+                    spans.append((k, i, i + n))
+                i += n - 2 if n >= 3 else 1
+        assert sorted(zip(*(x.tolist() for x in sd.parse(words, offs, copies, 3)), strict=True)) == spans
+
+
+def test_substrings_of_a_very_long_text(spark):
+    text = some_text(20_000)
+    rows = [(1, f"{text} {some_text(50)} {text[3000:5000]}"), (2, text[100_000:101_000]), (3, some_text(10))]
+    extra = spark.createDataFrame([(*x, "a", 1, 2) for x in rows], "doc_id long, text string, anchor string, _th int, gone int")
+    assert sorted(map(tuple, sd.query(extra).collect()), key=repr) == brute_windows(rows)
+
+
 def test_substrings_of_no_documents(spark):
     assert sd.query(documents(spark, [])).count() == 0
 
