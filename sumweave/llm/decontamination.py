@@ -6,12 +6,15 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import written
 from .textbytes import Texts, chunks
 
 SHINGLE = 5
@@ -21,8 +24,9 @@ PART_OVERLAP = 0.5
 #: BM25's parameters, and postings of a block.
 K1, B = 1.2, 0.75
 POSTINGS = 64
-#: Items and bytes of text that one index holds (about 100 MB in a worker); more items make more indexes, and each is searched with all passages.
-INDEX_ITEMS, INDEX_BYTES = 20_000, 2 << 20
+#: Terms that one index holds, about (some 16 MB of text, and 100 MB in a worker); more make more indexes, each of which is
+#: searched with all passages in a scan of its own. Scores don't depend on it.
+INDEX_TERMS = 3_000_000
 #: Words of a passage, or twice the longest item if that is more; a passage may start at any word.
 PASSAGE = 128
 #: All ASCII characters but letters and digits part words; letters count without case.
@@ -44,60 +48,94 @@ def _tail(text: str) -> str:
     return " ".join(words[len(words) - len(words) // 3 :])
 
 
+class Bag(NamedTuple):
+    """An item's different terms in order, how often each occurs, and which are its answer's."""
+
+    words: int
+    size: int  # words of a term
+    length: int  # terms, repeats counted
+    terms: np.ndarray
+    tf: np.ndarray
+    answer: np.ndarray
+
+
+def bags(texts: list[str | None]) -> list[Bag | None]:
+    """Terms are shingles of five words; an item with fewer words is one term, and one without words is None."""
+    t, tails = _texts([x or "" for x in texts]), _texts([_tail(x or "") for x in texts])
+    out: list[Bag | None] = []
+    for i in range(t.n):
+        n = int(t.first[i + 1] - t.first[i])
+        k = min(SHINGLE, n)
+        if not n:
+            out.append(None)
+            continue
+        grams = t.grams(k)[t.first[i] : t.first[i + 1] - k + 1]
+        answer = np.arange(len(grams)) + k // 2 >= n - int(tails.first[i + 1] - tails.first[i])
+        different, tf = np.unique(grams, return_counts=True)
+        out.append(Bag(n, k, len(grams), different, tf, np.isin(different, grams[answer])))
+    return out
+
+
+class Totals(NamedTuple):
+    """Of all items, whatever index they are in: how many have words, their mean length, and words of the longest."""
+
+    items: int
+    length: float
+    words: int
+
+
 @dataclass
 class Index:
-    """Terms are shingles of five words (an item with fewer words is one term). A posting's weight is its BM25 impact over
-    the least score that a passage with OVERLAP of the item's terms can have, so that the threshold is 1 for all items."""
+    """A posting's weight is its BM25 impact over the least score that a passage with OVERLAP of the item's terms can
+    have, so that the threshold is 1 for all items."""
 
+    totals: Totals
     ids: list = field(default_factory=list)
     terms: np.ndarray = None  # sorted hashes
     sizes: tuple[int, ...] = ()  # words of a term that occur
-    postings: list = field(default_factory=list)  # by term: items, weights, blocks (last item, most weight), most weight
-    item_terms: list = field(default_factory=list)  # by item: its terms' numbers, and which are the answer's
-    words: int = 0
+    first: np.ndarray = None  # postings first[t] .. first[t + 1] - 1 are those of term t, by item
+    items: np.ndarray = None
+    weights: np.ndarray = None
+    of_item: np.ndarray = None  # of_item[i] .. of_item[i + 1] - 1: the numbers of item i's terms, and which are its answer's
+    numbers: np.ndarray = None
+    answers: np.ndarray = None
+    postings: dict = field(default_factory=dict)
 
     @staticmethod
-    def build(items: list[tuple], words: int = 0) -> Index:
-        """words: of the longest item of all indexes, so that passages don't depend on how items are dealt out."""
-        out = Index(words=words)
-        t = _texts([x or "" for _, x in items])
-        tails = _texts([_tail(x or "") for _, x in items])
-        bags, sizes = [], set()
-        for i in range(t.n):
-            n = int(t.first[i + 1] - t.first[i])
-            if not n:
-                continue
-            k = min(SHINGLE, n)
-            sizes.add(k)
-            grams = t.grams(k)[t.first[i] : t.first[i + 1] - k + 1]
-            answer = int(tails.first[i + 1] - tails.first[i])
-            bags.append((items[i][0], grams, np.arange(len(grams)) + k // 2 >= n - answer))
-            out.words = max(out.words, n)
-        out.sizes = tuple(sorted(sizes))
-        out.terms = np.unique(np.concatenate([g for _, g, _ in bags])) if bags else np.zeros(0, np.uint64)
-        numbers = [np.searchsorted(out.terms, g) for _, g, _ in bags]
-        df = np.bincount(np.concatenate([np.unique(x) for x in numbers]), minlength=len(out.terms)) if bags else np.zeros(0, int)
-        idf = np.log(1 + (len(bags) - df + 0.5) / (df + 0.5))
-        mean = sum(len(x) for x in numbers) / max(1, len(numbers))
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for item, ((name, _, answer), x) in enumerate(zip(bags, numbers, strict=True)):
-            different, tf = np.unique(x, return_counts=True)
-            impact = idf[different] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean))
-            least = np.sort(impact)[: math.ceil(OVERLAP * len(different))].sum()
-            for term, w in zip(different.tolist(), (impact / least).tolist(), strict=True):
-                lists.setdefault(term, []).append((item, w))
-            of_answer = np.isin(different, x[answer])
-            out.ids.append(name)
-            out.item_terms.append((different, of_answer))
-        for term in range(len(out.terms)):
-            own = lists[term]
-            blocks = [(own[min(k + POSTINGS, len(own)) - 1][0], max(w for _, w in own[k : k + POSTINGS])) for k in range(0, len(own), POSTINGS)]
-            out.postings.append(([i for i, _ in own], [w for _, w in own], blocks, max(w for _, w in own)))
-        return out
+    def build(items: list[tuple[object, Bag, np.ndarray]], totals: Totals) -> Index:
+        """items: id, bag, and in how many of all items each of its terms occurs."""
+        weights = []
+        for _, x, df in items:
+            idf = np.log(1 + (totals.items - df + 0.5) / (df + 0.5))
+            impact = idf * x.tf * (K1 + 1) / (x.tf + K1 * (1 - B + B * x.length / totals.length))
+            weights.append(impact / np.sort(impact)[: math.ceil(OVERLAP * len(impact))].sum())
+        every = np.concatenate([x.terms for _, x, _ in items])
+        owner = np.repeat(np.arange(len(items)), [len(x.terms) for _, x, _ in items])
+        order = np.lexsort((owner, every))
+        terms, number = np.unique(every, return_inverse=True)
+        return Index(
+            totals, [i for i, _, _ in items], terms, tuple(sorted({x.size for _, x, _ in items})),
+            np.append(np.searchsorted(every[order], terms), len(every)), owner[order].astype(np.int32), np.concatenate(weights)[order],
+            np.concatenate([[0], np.cumsum([len(x.terms) for _, x, _ in items])]), number.astype(np.int32), np.concatenate([x.answer for _, x, _ in items]),
+        )
+
+    def posting(self, term: int) -> tuple[list, list, list, float]:
+        """Items, weights, blocks (last item, most weight) and most weight of a term; kept once a passage has it."""
+        found = self.postings.get(term)
+        if found is None:
+            own = slice(self.first[term], self.first[term + 1])
+            i, w = self.items[own].tolist(), self.weights[own].tolist()
+            blocks = [(i[min(k + POSTINGS, len(i)) - 1], max(w[k : k + POSTINGS])) for k in range(0, len(i), POSTINGS)]
+            found = self.postings[term] = i, w, blocks, max(w)
+        return found
+
+    def item(self, item: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.of_item[item], self.of_item[item + 1])
+        return self.numbers[own], self.answers[own]
 
     def search(self, terms: list[int], least: float = 1 - 1e-9) -> list[tuple[int, float]]:
         """All items that score least or more for a passage with these terms, by block-max WAND."""
-        cursors = [[self.postings[t][0][0], 0, self.postings[t]] for t in terms]  # item, place, list
+        cursors = [[p[0][0], 0, p] for p in map(self.posting, terms)]  # item, place, list
         found = []
 
         def seek(c: list, item: int) -> bool:
@@ -169,7 +207,7 @@ class Index:
 
     def _held(self, item: int, terms: list[int], starts: list[int], ends: list[int], width: int) -> tuple:
         """(overlap, score, question's overlap, answer's) of the best window of so many words that verifies, or ()."""
-        own, answer = self.item_terms[item]
+        own, answer = self.item(item)
         part = dict(zip(own.tolist(), answer.tolist(), strict=True))
         whole = [int((~answer).sum()), int(answer.sum())]
         least, met, best, to = OVERLAP * len(own) - 1e-9, [0, 0], (), 0
@@ -196,7 +234,7 @@ class Index:
         return best
 
     def _weight(self, term: int, item: int) -> float:
-        items, weights = self.postings[term][:2]
+        items, weights = self.posting(term)[:2]
         return weights[bisect_left(items, item)]
 
     def matches(self, t: Texts) -> list[tuple[int, int, float, float, float, float]]:
@@ -204,7 +242,7 @@ class Index:
         at, term, size = self.hits(t)
         if not len(at):
             return []
-        step = max(PASSAGE, 2 * self.words) // 2
+        step = max(PASSAGE, 2 * self.totals.words) // 2
         doc, word = t.doc[at], at - t.first[t.doc[at]]
         # searched are passages of three steps, a step apart, as each window of two steps is within one, wherever it starts
         last = word // step
@@ -218,25 +256,51 @@ class Index:
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
             terms, start = term[rows[lo:hi]], word[rows[lo:hi]]
             for item, _ in self.search(np.unique(terms).tolist()):
-                own = np.isin(terms, self.item_terms[item][0])
+                own = np.isin(terms, self.item(item)[0])
                 if held := self._held(item, terms[own].tolist(), start[own].tolist(), (start + size[rows[lo:hi]])[own].tolist(), 2 * step):
                     key = (int(doc[rows[lo]]), item)
                     best[key] = max(best.get(key, ()), held)
         return [(doc, item, b[1], b[0], b[2], b[3]) for (doc, item), b in sorted(best.items())]
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = bags(b.column(1).to_pylist())
+        own = [i for i, x in enumerate(found) if x is not None]
+        columns = zip(*((x.words, x.size, x.length, x.terms.view(np.int64).tolist(), x.tf.tolist(), x.answer.tolist()) for x in found if x is not None), strict=True)
+        if own:
+            names = ["item_id", "words", "size", "length", "terms", "tf", "answer"]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), *map(pa.array, columns)], names=names).cast(
+                pa.schema([(n, t) for n, t in zip(names, [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_())], strict=True)])
+            )
+
+
 def indexes(items: DataFrame) -> Iterator[Index]:
-    """Bounded indexes over all items, read in the order of their ids and texts."""
-    held, size = [], 0
-    words = items.agg(F.max(F.regexp_count("text", F.lit(r"(?:[A-Za-z0-9]|[^\x00-\x7F])+")))).first()[0] or 0
-    for r in items.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        held.append((r["item_id"], r["text"]))
-        size += len(r["text"].encode())
-        if len(held) >= INDEX_ITEMS or size >= INDEX_BYTES:
-            yield Index.build(held, words)
-            held, size = [], 0
+    """Bounded indexes over all items. In how many items a term occurs is counted over all, so an item scores alike in any
+    index. The driver reads the items' terms one after another, and holds those of one index."""
+    kind = items.schema["item_id"].dataType.simpleString()
+    found = items.select("item_id", "text").where("text is not null").mapInArrow(_bags, f"item_id {kind}, words int, size int, length int, terms array<long>, tf array<int>, answer array<boolean>")
+    found = written(found.withColumn("row", F.expr("uuid()")))
+    every = found.agg(F.count("*"), F.avg("length"), F.max("words")).first()
+    if not every[0]:
+        return
+    totals = Totals(*every)
+    postings = found.select("row", F.explode(F.arrays_zip("terms", "tf", "answer")).alias("x")).select("row", "x.*")
+    df = postings.groupBy("terms").agg(F.count("*").alias("df"))
+    own = postings.join(df, "terms").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("terms", "tf", "answer", "df"))).alias("x"))
+    rows = found.select("row", "item_id", "words", "size", "length").join(own, "row").select("item_id", "words", "size", "length", "x.terms", "x.tf", "x.answer", "x.df")
+    held, many = [], 0
+    for r in rows.toLocalIterator():
+        terms = np.array(r["terms"], np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        tf, answer, df = (np.array(r[c])[order] for c in ("tf", "answer", "df"))
+        held.append((r["item_id"], Bag(r["words"], r["size"], r["length"], terms[order], tf, answer), df))
+        many += len(terms)
+        if many >= INDEX_TERMS:
+            yield Index.build(held, totals)
+            held, many = [], 0
     if held:
-        yield Index.build(held, words)
+        yield Index.build(held, totals)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -245,14 +309,17 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     A passage holds an item if OVERLAP of the item's different shingles are in it, and PART_OVERLAP of both its question's
     and its answer's (the last line, or the last third of a single line). The search finds all items above a threshold that
-    no such passage can miss. Null and empty texts or items match nothing; repeated rows match alike, repeated items each;
-    no documents or no items give no rows. A map over documents: nothing is shuffled; an index has a bounded size.
+    no such passage can miss. Null and empty texts or items match nothing; null ids are kept as such; repeated rows match
+    alike, repeated items each; no documents or no items give no rows; other columns are left out. Of passages with equal
+    overlap the one of the highest score counts. A very long text is worked on alone, its passages one after another. A map
+    over documents: nothing of them is shuffled; an index has a bounded size.
     """
     kinds = [docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, overlap double, question_overlap double, answer_overlap double"
+    id_type = to_arrow_type(items.schema["item_id"].dataType)
     rows, out = docs.select("doc_id", "text"), None
     for index in indexes(items):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+        sent = docs.sparkSession.sparkContext.broadcast(index)  # INDEX_TERMS bounds it
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
@@ -261,7 +328,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                     if found := index.matches(t):
                         doc, item, *rest = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(pa.array(np.array(doc) + lo)), pa.array([index.ids[i] for i in item], b.column(0).type if kinds[0] == kinds[1] else None), *(pa.array(x, pa.float64()) for x in rest)],
+                            [b.column(0).take(pa.array(np.array(doc) + lo)), pa.array([index.ids[i] for i in item], id_type), *(pa.array(x, pa.float64()) for x in rest)],
                             names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
                         )
 
@@ -272,8 +339,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs whose passages hold no item, with the columns of docs; see contaminated()."""
-    for index in indexes(items):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for k, index in enumerate(indexes(items)):
+        sent = docs.sparkSession.sparkContext.broadcast(index)  # INDEX_TERMS bounds it
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -283,7 +350,8 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                         keep[lo + doc] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        # one index at a time in a worker
+        docs = (written(docs) if k else docs).mapInArrow(run, docs.schema)
     return docs
 
 

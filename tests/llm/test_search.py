@@ -252,12 +252,70 @@ def test_decontamination(spark):
     assert dc.query(documents(spark, []), items).count() == 0 and dc.query(documents(spark, rows), items.where("item_id < 0")).count() == 0
 
 
-def test_many_indexes_find_the_same(spark, monkeypatch):
-    rows = documents(spark, [(k, f"{some_text(50)} {ITEMS[k][1]}") for k in range(20)])
+def local_index(items):
+    """All items in one index, without Spark."""
+    found = [(i, b) for (i, _), b in zip(items, dc.bags([t for _, t in items]), strict=True) if b is not None]
+    df = Counter(x for _, b in found for x in b.terms.tolist())
+    totals = dc.Totals(len(found), sum(b.length for _, b in found) / len(found), max(b.words for _, b in found))
+    return dc.Index.build([(i, b, np.array([df[x] for x in b.terms.tolist()])) for i, b in found], totals)
+
+
+def brute_scores(rows, items):
+    """(document, item) to its row's figures, by trying the window of every word that starts a shingle."""
+    split = {i: w for i, t in items if (w := words_of(t))}
+    grams = {i: [tuple(w[j : j + min(5, len(w))]) for j in range(len(w) - min(5, len(w)) + 1)] for i, w in split.items()}
+    df, mean, longest = Counter(g for x in grams.values() for g in set(x)), sum(map(len, grams.values())) / len(grams), max(map(len, split.values()))
+    out = {}
+    for i, t in items:
+        if i not in split:
+            continue
+        tf, n = Counter(grams[i]), len(grams[i])
+        tail = len(words_of(t.split("\n")[-1])) if "\n" in t else len(t.split()) // 3
+        answer = {g for j, g in enumerate(grams[i]) if j + len(g) // 2 >= len(split[i]) - tail}
+        impact = {g: np.log(1 + (len(grams) - df[g] + 0.5) / (df[g] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) for g, f in tf.items()}
+        least = sum(sorted(impact.values())[: int(np.ceil(0.8 * len(impact)))])
+        width = 2 * (max(128, 2 * longest) // 2)
+        for d, text in rows:
+            w, k = words_of(text), len(next(iter(tf)))
+            at = [(j, g) for j in range(len(w) - k + 1) if (g := tuple(w[j : j + k])) in tf]
+            best = ()
+            for j, _ in at:
+                met = {g for x, g in at if j <= x and x + k <= j + width}
+                parts = [len(met & p) / len(p) if p else 1.0 for p in (set(tf) - answer, answer)]
+                if len(met) >= 0.8 * len(tf) - 1e-9 and min(parts) >= 0.5:
+                    best = max(best, (round(len(met) / len(tf), 9), round(sum(impact[g] for g in met) / least, 9), *(round(x, 9) for x in parts)))
+            if best:
+                out[d, i] = best
+    return out
+
+
+@pytest.mark.parametrize("most", [dc.INDEX_TERMS, 200])
+def test_scores_for_any_split_into_indexes(spark, monkeypatch, most):
+    monkeypatch.setattr(dc, "INDEX_TERMS", most)
+    r = random.Random(2)
+    cut = lambda t: " ".join(w for w in t.split(" ") if r.random() < 0.99)
+    rows = [(k, f"{some_text(50)} {cut(ITEMS[k][1])} {some_text(20)} {ITEMS[(k + 1) % 40][1]}") for k in range(30)]
+    got = dc.query(documents(spark, rows), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    found = {(x["doc_id"], x["item_id"]): tuple(round(x[c], 9) for c in ("overlap", "score", "question_overlap", "answer_overlap")) for x in got}
+    want = brute_scores(rows, ITEMS)
+    assert len(got) == len(found) and found.keys() == want.keys() and all(np.allclose(found[k], want[k], atol=1e-6) for k in want)
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_types_of_ids(spark, kind):
+    rows = [(1, f"{some_text(20)} {ITEMS[3][1]}", "x", 5), (None, ITEMS[4][1], "x", 5)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, item_id string, score int")
+    items = spark.createDataFrame([*ITEMS, (None, ITEMS[4][1])], "item_id long, text string").selectExpr(f"cast(item_id as {kind}) item_id", "text", "1 as row", "2 as df")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.query(docs, items).collect()}
+    assert got == {(1, {"string": "3"}.get(kind, 3)), (None, {"string": "4"}.get(kind, 4)), (None, None)}
+    assert dc.clean(docs, items).count() == 0 and dc.clean(docs, items.where("item_id = 7")).collect() == docs.collect()
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    text = some_text(300_000)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    one = sorted((r["doc_id"], r["item_id"]) for r in dc.query(rows, items).collect())
-    monkeypatch.setattr(dc, "INDEX_ITEMS", 7)
-    assert sorted((r["doc_id"], r["item_id"]) for r in dc.query(rows, items).collect()) == one
+    got = dc.query(documents(spark, [(1, f"{text} {ITEMS[5][1]}"), (2, text)]), items).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 5)]
 
 
 def test_items_with_gaps_at_any_offset(spark, monkeypatch):
@@ -266,18 +324,18 @@ def test_items_with_gaps_at_any_offset(spark, monkeypatch):
     # 60 words over 90 hold the item wherever they start, and over 150 they don't; the step is 64
     rows = [(k, f"{some_text(k)} {question} {some_text(30)} {answer} {some_text(100)}") for k in range(1, 130)]
     rows += [(1000 + k, f"{some_text(k)} {question} {some_text(90)} {answer} {some_text(100)}") for k in range(1, 130)]
-    for many in (dc.INDEX_ITEMS, 1):
-        monkeypatch.setattr(dc, "INDEX_ITEMS", many)
+    for many in (dc.INDEX_TERMS, 1):
+        monkeypatch.setattr(dc, "INDEX_TERMS", many)
         assert sorted(r["doc_id"] for r in dc.query(documents(spark, rows), items).where("item_id = 1").collect()) == list(range(1, 130))
 
 
 def test_wand_finds_all():
-    index = dc.Index.build([*ITEMS[:40], *((100 + k, ITEMS[k % 7][1] + " " + ITEMS[k % 5][1]) for k in range(300))])
+    index = local_index([*ITEMS[:40], *((100 + k, ITEMS[k % 7][1] + " " + ITEMS[k % 5][1]) for k in range(300))])
     for _ in range(150):
         terms = sorted(R.sample(range(len(index.terms)), R.choice([1, 5, 50, 400])))
         scores = Counter()
         for t in terms:
-            for item, w in zip(*index.postings[t][:2], strict=True):
+            for item, w in zip(*index.posting(t)[:2], strict=True):
                 scores[item] += w
         least = R.choice([0.05, 0.3, 1.0])
         assert {i for i, _ in index.search(terms, least)} ^ {i for i, s in scores.items() if s >= least} <= {i for i, s in scores.items() if abs(s - least) < 1e-9}
