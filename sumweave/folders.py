@@ -6,13 +6,17 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-#: Used where spark.checkpoint.dir is unset, as in tests.
+#: Used in local mode where spark.checkpoint.dir is unset, as in tests.
 TEST_FOLDER = "/tmp/checkpoints"
 
 
 def new_folder(spark: SparkSession, local: bool = False) -> str:
-    """A new folder below spark.checkpoint.dir, removed when Spark ends; local: as a path for open(), made at once."""
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or TEST_FOLDER).rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, removed when Spark ends; local: as a path for open(), made at once. A
+    cluster must name the folder that it shares."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset; it names the folder that the driver and all executors share")
+    path = f"{(top or TEST_FOLDER).rstrip('/')}/{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
