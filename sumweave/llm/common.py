@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import new_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A word, as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Where tests write; a cluster names its own folder in spark.checkpoint.dir.
-TEST_FOLDER = "/tmp/checkpoints"
+#: Copies that one task makes of a row, or the root of their number if that is more.
+COPIES = 4096
 #: A null doc_id counts as one document that comes after all others.
 LAST_ID = 2**63 - 1
 
@@ -21,19 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see; Spark removes it when the session ends."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or TEST_FOLDER
-    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
 def written(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: a cut lineage that outlives lost executors."""
-    path = shared_folder(df.sparkSession)
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -45,6 +35,23 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def copies(rows: DataFrame, n: str, hot: bool, most: int = COPIES) -> DataFrame:
+    """Each row n times, numbered 1 .. n in the column `copy`. If hot (some n is over `most`), rows of more copies are cut
+    into ranges first, which are dealt to all tasks: no task makes all copies of a row. rows is evaluated twice then."""
+    few = (rows.where(F.col(n) <= most) if hot else rows).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
+    if not hot:
+        return few
+    each = F.greatest(F.lit(most), F.ceil(F.sqrt(n))).cast("long")
+    ranges = rows.where(F.col(n) > most).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"), each)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that adaptive execution doesn't join the small ranges again
+    ranges = ranges.repartition(parts, *(f"`{c}`" for c in ranges.columns))
+    return few.unionByName(ranges.withColumn("copy", F.explode(F.sequence("copy", F.least(F.col("copy") + each - 1, F.col(n).cast("long"))))))
+
+
+def any_over(rows: DataFrame, n: str, most: int = COPIES) -> bool:
+    return not rows.where(F.col(n) > most).isEmpty()
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -55,4 +55,9 @@ QUERIES = {
         op6_substring_dedup, op7_quality, op8_url_filter, op9_mixing, op10_sharding,
     )
 }
-ORACLE_SQL = {"op4_line_dedup": line_dedup.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL = {
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
+    "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op8_url_filter": url_filter.ORACLE_SQL,
+    "op10_sharding": sharding.ORACLE_SQL,
+}

@@ -7,8 +7,10 @@ from collections import Counter, defaultdict
 from urllib.parse import urljoin
 
 import pytest
+from pyspark.sql import functions as F
 
 from sumweave.llm import line_dedup, sharding, url_filter
+from sumweave.llm.common import copies
 from sumweave.llm.components import components, components_of_few
 from sumweave.llm.sharding import SlotMap
 
@@ -170,9 +172,33 @@ def test_slot_map_versions(spark, tmp_path):
 
 
 def test_written_shards_agree_with_places(spark, tmp_path):
-    rows = [(k % 50, f"text {k % 50}") for k in range(300)]
-    docs = documents(spark, rows)
+    # two of the columns clash with names that the operator uses; equal texts differ in them
+    rows = [(k % 50, f"text {k % 50}", k % 3, "x", k % 2) for k in range(300)] + [(7, "text 7", 0, "x", 0)] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, row string, `a.b` int")
     placed, slot_map = sharding.assign_shards(docs, 4, 64)
     sharding.write_shards(docs, slot_map, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert Counter((x["doc_id"], x["shard"]) for x in back.collect()) == Counter((x["doc_id"], x["shard"]) for x in placed.collect())
+    assert Counter((x["doc_id"], x["_shard"]) for x in back.collect()) == Counter((x["doc_id"], x["shard"]) for x in placed.collect())
+    assert Counter(map(tuple, back.drop("_shard").collect())) == Counter(rows)
+    clash = docs.withColumnRenamed("shard", "_shard")
+    sharding.write_shards(clash, slot_map, str(tmp_path / "t"))
+    assert sorted(spark.read.parquet(str(tmp_path / "t")).columns) == sorted([*clash.columns, "__shard"])
+
+
+def test_copies_of_one_record_are_not_one_task(spark):
+    many = 300_000
+    docs = spark.range(many).selectExpr("5L as doc_id", "'same' as text").unionByName(spark.range(100).selectExpr("id as doc_id", "'own' as text"))
+    placed, _ = sharding.assign_shards(docs)
+    sizes = Counter(r["p"] for r in placed.where("text_crc32 = crc32('same')").select(F.spark_partition_id().alias("p")).collect())
+    assert sum(sizes.values()) == many and max(sizes.values()) < 0.4 * many
+    counted = docs.groupBy("doc_id", "text").count()
+    spread = copies(counted, "count", True).where("text = 'same'")
+    made = Counter(r["p"] for r in spread.select(F.spark_partition_id().alias("p")).collect())
+    assert max(made.values()) < 0.4 * many and {r["copy"] for r in spread.collect()} == set(range(1, many + 1))
+    assert copies(counted.where("text = 'own'"), "count", True).count() == 100
+
+
+def test_shards_of_very_long_and_clashing_rows(spark):
+    rows = [(1, "long " * 400_000, 1, 2, 3), (2, "x", 1, 2, 3), (2, "x", 1, 2, 3)]
+    got = sharding.query(spark.createDataFrame(rows, "doc_id long, text string, n int, copy int, vslot int")).collect()
+    assert sorted((r["doc_id"], r["size"], r["slot"]) for r in got)[0][:2] == (1, 2_000_008) and len(got) == 3
