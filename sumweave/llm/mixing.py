@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WORD, whole_row, written
+from .common import WORD, any_over, copies, drop_written, whole_row, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -16,26 +18,35 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 #: Documents that one flight holds.
 BLOCK = 2048
-#: Sources that the driver holds, a row each.
-MAX_SOURCES = 100_000
+#: Up to so many sources are ranked in one task and broadcast; more are ranked by ranges and joined, with the same result.
+FEW_SOURCES = 100_000
 _SEED = 20240229
 
 
+def level(total: float, capped: Callable[[float], tuple[float, float]], share: float = SHARE) -> float:
+    """The level x at which the sources' shares, x times their weights or the most they may have, add up to share * total.
+    capped(x): the weights of the sources that aren't full at x, and what full ones have. Each step shares anew what the
+    sources that the last level fills leave over, so levels rise until none is filled."""
+    x = -1.0
+    while True:
+        weights, full = capped(x)
+        then = (share * total - full) / weights if weights else x
+        if then <= x:
+            return x
+        x = then
+
+
 def targets(sizes: list[float], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
     """Shares by weight of share times all sizes; none over most times its size, and the excess is shared anew."""
-    out, free, left = [0.0] * len(sizes), list(range(len(sizes))), share * sum(sizes)
-    while free:
-        total = sum(weights[i] for i in free)
-        full = [i for i in free if left * weights[i] / total > most * sizes[i]]
-        if not full:
-            for i in free:
-                out[i] = left * weights[i] / total
-            break
-        for i in full:
-            out[i] = most * sizes[i]
-        left -= sum(out[i] for i in full)
-        free = [i for i in free if i not in set(full)]
-    return out
+    if not sizes:
+        return []
+
+    def capped(x: float) -> tuple[float, float]:
+        full = [x * w > most * s for s, w in zip(sizes, weights, strict=True)]
+        return sum(w for w, f in zip(weights, full, strict=True) if not f), sum(most * s for s, f in zip(sizes, full, strict=True) if f)
+
+    x = level(sum(sizes), capped, share)
+    return [min(x * w, most * s) for s, w in zip(sizes, weights, strict=True)]
 
 
 def flight(sizes: list[float], chance: list[float], rng: random.Random) -> list[float]:
@@ -88,7 +99,7 @@ def doc_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-_UNIT = "_key string, doc_id long, size long, source_no int, copy long, whole int, chance double, blocks long"
+_UNIT = "_key string, doc_id long, size long, source_no long, copy long, whole int, chance double, blocks long"
 
 
 def _fly(block: pd.DataFrame) -> pd.DataFrame:
@@ -101,23 +112,52 @@ def _fly(block: pd.DataFrame) -> pd.DataFrame:
     return block
 
 
+def _ranked(sums: DataFrame, few: bool) -> DataFrame:
+    """sums (source, s, n) with source_no: their place by code points (UTF-8 orders alike), null last."""
+    last = F.col("source").isNull()
+    if few:
+        return sums.withColumn("source_no", F.row_number().over(Window.orderBy(last, "source")).cast("long") - 1)
+    parts = written(sums.repartitionByRange(last, "source").withColumn("part", F.spark_partition_id()))
+    ends, before = [], 0
+    for r in parts.groupBy("part").agg(F.count("*").alias("k")).orderBy("part").collect():  # a row for each partition
+        ends.append((r["part"], before))
+        before += r["k"]
+    first = sums.sparkSession.createDataFrame(ends, "part int, before long")
+    return parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(last, "source"))).join(F.broadcast(first), "part").withColumn("source_no", F.col("before") + F.col("k") - 1)
+
+
+def source_targets(units: DataFrame, few: int = FEW_SOURCES) -> tuple[DataFrame, bool]:
+    """source_no, source, source_size, target, n of each source of the units; and whether they are `few`."""
+    sums = written(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.sum("n").alias("n")))
+    total, many = sums.agg(F.sum("s"), F.count("*")).first()
+    weight = F.element_at(F.array(*map(F.lit, map(float, WEIGHTS))), (F.col("source_no") % len(WEIGHTS) + 1).cast("int"))
+    ranked = written(_ranked(sums, many <= few).withColumn("w", weight).select("source_no", "source", "s", "n", "w"))
+    if many <= few:
+        rows = sorted(ranked.select("source_no", "s", "w").collect())
+        aims = targets([r["s"] for r in rows], [r["w"] for r in rows])
+        aim = ranked.sparkSession.createDataFrame([(r["source_no"], a) for r, a in zip(rows, aims, strict=True)], "source_no long, target double")
+        found = ranked.join(F.broadcast(aim), "source_no")  # FEW_SOURCES rows at most
+    else:
+
+        def capped(x: float) -> tuple[float, float]:
+            full = F.lit(x) * F.col("w") > MOST * F.col("s")
+            return tuple(v or 0.0 for v in ranked.agg(F.sum(F.when(~full, F.col("w"))), F.sum(F.when(full, MOST * F.col("s")))).first())
+
+        found = ranked.withColumn("target", F.least(F.lit(level(total, capped)) * F.col("w"), MOST * F.col("s")))
+    return found.select("source_no", "source", F.col("s").alias("source_size"), "target", "n"), many <= few
+
+
 def mix_units(units: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """units: _key, doc_id, source, size, n (so many alike). Returns a row for each document, with source_no, size and
-    times (how often the mix takes it); and the sources: source_no, source, source_size, target, n."""
-    spark = units.sparkSession
-    sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))  # UTF-8 orders as code points do
-    aims = targets([float(r["s"]) for r in sources], [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(sources))])
-    ratio = [min(MOST, a / r["s"]) if r["s"] else 0.0 for a, r in zip(aims, sources, strict=True)]
-    rows = [(i, r["source"], r["s"], a, r["n"], int(x), x - int(x), max(1, -(-r["n"] // block))) for i, (r, a, x) in enumerate(zip(sources, aims, ratio, strict=True))]
-    table = spark.createDataFrame(rows, "source_no int, source string, source_size long, target double, n long, whole int, chance double, blocks long")
-    now = (
-        units.join(F.broadcast(table.select("source_no", F.col("source").alias("_s"), "whole", "chance", "blocks")), units["source"].eqNullSafe(F.col("_s")))  # MAX_SOURCES rows at most
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-        .select("_key", "doc_id", "size", "source_no", "copy", "whole", "chance", "blocks")
-    )
+    """units: _key, doc_id, source, size, n (so many alike), as a written table. Returns a row for each document, with
+    source_no, size and times (how often the mix takes it); and the sources: source_no, source, source_size, target."""
+    sources, few = source_targets(units, FEW_SOURCES)
+    sources = written(sources)
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)  # FEW_SOURCES rows at most
+    ratio = F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("long").alias("blocks")
+    plan = sources.select("source_no", F.col("source").alias("_s"), F.floor(ratio).cast("int").alias("whole"), (ratio - F.floor(ratio)).alias("chance"), blocks(F.col("n")))
+    columns = ("_key", "doc_id", "size", "source_no", "copy", "whole", "chance", "blocks")
+    now = copies(units.join(small(plan), units["source"].eqNullSafe(F.col("_s"))), "n", any_over(units, "n")).select(*columns)
     done = None
     while True:
         where = F.pmod(F.xxhash64(F.lit(_SEED), "_key", "copy"), F.col("blocks"))
@@ -125,37 +165,40 @@ def mix_units(units: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFram
         fixed = flown.where("chance = 0 or chance = 1")
         done = fixed if done is None else done.unionByName(fixed)
         left = flown.where("chance > 0 and chance < 1")
-        counts = {r["source_no"]: r["k"] for r in left.groupBy("source_no").agg(F.count("*").alias("k")).collect()}
-        if not counts:
+        if left.isEmpty():
             break
-        again = spark.createDataFrame([(s, max(1, -(-k // block))) for s, k in counts.items()], "source_no int, blocks long")
-        now = left.drop("blocks").join(F.broadcast(again), "source_no").select("_key", "doc_id", "size", "source_no", "copy", "whole", "chance", "blocks")
+        again = left.groupBy("source_no").agg(blocks(F.count("*")))
+        now = left.drop("blocks").join(small(again), "source_no").select(*columns)
     taken = done.select("_key", "doc_id", "size", "source_no", "copy", (F.col("whole") + F.col("chance").cast("int")).alias("times"))
-    return taken, table.select("source_no", "source", "source_size", "target")
+    return taken, small(sources.drop("n"))
 
 
 def query(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text, source). Null text: size 0. Null source: a source of its own, the last.
-    Repeated rows are documents of their own; they are counted first, then numbered, and spread over blocks. Only ids,
-    sizes and sources are shuffled; a source's documents are split into blocks, and what a block leaves open (two
-    documents) flies again with what other blocks leave, until a source has one block, which lands."""
+    Repeated rows are documents of their own; they are counted first, then numbered, and spread over blocks. Ties of size
+    within a block go by id. Other columns are left out; no documents give no rows. A very long text counts by its words,
+    and is taken or not like others. Only ids, sizes and sources are shuffled; a source's documents are split into blocks,
+    and what a block leaves open (two documents) flies again with what other blocks leave, until a source has one block,
+    which lands."""
     units = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", doc_words(F.col("text")).alias("size"))
         .groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
         .withColumn("_key", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "size"))
     )
     taken, sources = mix_units(units)
-    return taken.join(F.broadcast(sources), "source_no").select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+    return taken.join(sources, "source_no").select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it (0 to 2 times). Rows alike in all columns are numbered together."""
+    """docs with each row as often as the mix takes it (0 to 2 times). Rows alike in all columns are numbered together,
+    and one of them stands for all; texts are shuffled once."""
     row = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
     key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(row).cast("string"), F.xxhash64(F.lit(1), row).cast("string"))
     keyed = docs.select(whole_row(docs), key.alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), "source", doc_words(F.col("text")).alias("size"))
     units = written(keyed.select("_key", "doc_id", "source", "size").groupBy("_key", "doc_id", "source", "size").agg(F.count("*").alias("n")))
     taken, _ = mix_units(units)
-    times = taken.groupBy("_key").agg(F.sum("times").alias("times"), F.count("*").alias("alike")).where("times > 0")
-    hit = keyed.select("row", "_key").join(times, "_key")
-    alone, alike = hit.where("alike = 1"), hit.where("alike > 1").dropDuplicates(["_key"])
-    return alone.unionByName(alike).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
+    times = written(taken.groupBy("_key").agg(F.sum("times").alias("times")).where("times > 0"))
+    drop_written(units)
+    # the aggregate deals the rows by key, and so they lie right for the join
+    one = keyed.groupBy("_key").agg(F.first("row").alias("row"))
+    return copies(one.join(times, "_key"), "times", any_over(times, "times")).select("row.*")

@@ -191,7 +191,9 @@ def brute_targets(sizes):
     return [min(low * w, 2 * s) for w, s in zip(weights, sizes, strict=True)]
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("few", [mixing.FEW_SOURCES, 0])
+def test_mixing(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
     rows = [(k, "w " * R.randrange(1, 60), f"s{k % 7}") for k in range(3000)] + [(9000 + k, "v v v", "s1") for k in range(400)] + [(5000, "dup dup", "s2")] * 300 + [(None, None, None), (None, "one two", None), (8000, "", "ü")]
     docs = documents(spark, rows, "doc_id long, text string, source string")
     got = mixing.query(docs).collect()
@@ -207,10 +209,31 @@ def test_mixing(spark):
     for r in got:
         taken[name[r["doc_id"]]] += r["taken"]
     assert all(abs(taken[s] - want[s]) <= 60 for s in source)
-    assert sorted(map(repr, got)) == sorted(map(repr, mixing.query(docs.repartition(3)).collect()))
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.query(docs.selectExpr("*", "1 as size", "2 as n", "3 as copy", "4 as _key").repartition(3)).collect()))
     assert mixing.query(docs.where("doc_id < 0")).count() == 0
 
 
+def test_many_sources_are_ranked_alike(spark):
+    # some thousand sources, as hosts would be, with names whose order by code points isn't that of UTF-16
+    names = [None, "", "\U0001F600", "\uffee", "Z", "a", "ä", *(f"h{k}" for k in range(3000))]
+    units = spark.createDataFrame([(str(i), i, x, R.randrange(50) + (i % 97 == 0) * 10**6, 1 + i % 3) for i, x in enumerate(names)], "_key string, doc_id long, source string, size long, n long")
+    few, many = (sorted(mixing.source_targets(units, k)[0].collect()) for k in (10**6, 0))
+    assert [tuple(r)[:3] for r in few] == [tuple(r)[:3] for r in many] and np.allclose([r["target"] for r in few], [r["target"] for r in many], rtol=1e-9)
+    assert [r["source"] for r in few] == sorted((x for x in names if x is not None), key=lambda x: [ord(c) for c in x]) + [None]
+    assert np.allclose([r["target"] for r in few], brute_targets([r["source_size"] for r in few]), rtol=1e-6)
+
+
+def test_a_hot_record_is_mixed_by_many_tasks(spark):
+    docs = spark.range(30_000).selectExpr("7L as doc_id", "'one two' as text", "'s' as source").unionByName(spark.range(500).selectExpr("id as doc_id", "concat('w ', id) as text", "'t' as source"))
+    got = mixing.query(docs).groupBy("doc_id", "taken").count().collect()
+    taken = sum(r["taken"] * r["count"] for r in got if r["doc_id"] == 7 and r["taken"] != 0)
+    assert sum(r["count"] for r in got) == 30_500 and abs(taken / 60_000 - 1.5) < 0.05
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    sizes = Counter(r["p"] for r in out.where("text = 'one two'").select(F.spark_partition_id().alias("p")).collect())
+    assert abs(sum(sizes.values()) / 30_000 - 1.5) < 0.05 and max(sizes.values()) < 0.6 * sum(sizes.values())
+
+
 def test_flights_keep_their_sums():
     for seed in range(20):
         rng = random.Random(seed)
@@ -245,7 +268,7 @@ def test_pipeline_query(spark):
     assert first and sorted(map(repr, first)) == sorted(map(repr, again))
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op6_substring_dedup", "op8_url_filter"])
+@pytest.mark.parametrize("name", ["op4_line_dedup", "op6_substring_dedup", "op8_url_filter", "op10_sharding"])
 def test_registered_sql(spark, name):
     import duckdb
 
