@@ -58,6 +58,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op7_quality": quality.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op10_sharding": sharding.ORACLE_SQL,
 }

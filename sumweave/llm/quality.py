@@ -167,8 +167,9 @@ def plan(docs: DataFrame, rules: tuple[Rule, ...], sample: int = SAMPLE) -> tupl
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that no rule rejects, with the columns of docs. Null text counts as empty, and is too short by
-    RULES. Repeated rows are judged alike; an empty table stays empty."""
+    """The rows of docs that no rule rejects, with the columns of docs, whatever their names. Null text counts as empty, and
+    is too short by RULES. Repeated rows are judged alike; an empty table stays empty. A very long text is judged whole,
+    alone. A count on a rule's bound passes."""
     rules = plan(docs, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +185,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Counts and verdict of each row of docs (doc_id, text). Null text: no words, base_failed, not kept."""
+    """Counts and verdict of each row of docs (doc_id, text). Null and empty texts: no words, base_failed, not kept. Repeated
+    rows are judged alike, a very long text whole; other columns are left out; no documents give no rows.
+
+    The base rules' counts are asked for all rows; the other rules are a cascade over what the base rules leave."""
     rest = plan(docs, tuple(r for r in RULES if r not in BASE_RULES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,3 +208,19 @@ def query(docs: DataFrame) -> DataFrame:
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+ORACLE_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, unnest(list_transform(range(1, len(ws) + 1), lambda k: CASE WHEN k + 2 <= len(ws) THEN array_to_string(ws[k:k + 2], ' ') END)) AS win FROM t),
+c AS (SELECT r, w, i, win IS NOT NULL AND count(*) OVER (PARTITION BY r, win) > 1 AS dup FROM w),
+g AS (SELECT r, w, max(dup::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS again FROM c),
+a AS (SELECT r, sum(length(w)) AS word_chars, sum(again) AS n_repeat_words, sum(CASE WHEN regexp_matches(w, '[A-Za-z\x{80}-\x{10FFFF}]') THEN 1 ELSE 0 END) AS n_letter_words FROM g GROUP BY r),
+l AS (SELECT r, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS ls FROM t),
+f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, coalesce(n_letter_words, 0) AS n_letter_words,
+  length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(x, '[^A-Za-z]', '', 'g')) AS n_letters FROM t JOIN l USING (r) LEFT JOIN a USING (r)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 12 * n_words
+  OR 10 * n_letter_words < 8 * n_words OR 2 * n_dup_lines > n_lines OR 2 * n_upper > greatest(1, n_letters)) AS kept FROM v
+"""

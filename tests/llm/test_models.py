@@ -167,6 +167,15 @@ def test_quality_counts(spark):
     assert quality.query(documents(spark, [])).count() == 0
 
 
+def test_quality_of_clashing_and_long_rows(spark):
+    schema = "doc_id long, text string, n_words string, kept int, base_failed int"
+    rows = [(k, t, "x", 1, 2) for k, t in [(1, None), (2, "Some plain words of a text " * 200_000), (3, " ".join(f"word{j}" for j in range(200_000))), (3, " ".join(f"word{j}" for j in range(60)))]]
+    got = quality.query(documents(spark, rows, schema)).collect()
+    assert sorted((tuple(r)[:7] for r in got), key=repr) == sorted(((r[0], *brute_quality(r[1])) for r in rows), key=repr)
+    kept = quality.keep_good(documents(spark, rows, schema))
+    assert kept.columns == ["doc_id", "text", "n_words", "kept", "base_failed"] and sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] == 3)
+
+
 def test_quality_agrees_with_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.query(docs).join(labels, "doc_id").where("not base_failed").collect()
@@ -268,7 +277,7 @@ def test_pipeline_query(spark):
     assert first and sorted(map(repr, first)) == sorted(map(repr, again))
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op6_substring_dedup", "op8_url_filter", "op10_sharding"])
+@pytest.mark.parametrize("name", ["op4_line_dedup", "op6_substring_dedup", "op7_quality", "op8_url_filter", "op10_sharding"])
 def test_registered_sql(spark, name):
     import duckdb
 
