@@ -298,11 +298,11 @@ def duplicate_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, mo
     )
     entries = written(rows.join(asked, ["_id", "_th"]).select("_id", "_th", "text", "want").sortWithinPartitions("_id", "_th").mapInArrow(_fetch(window), ENTRY))
     c = F.col("anchor").bitwiseXOR(F.col("digest")).alias("c")
-    found = factors(entries, window, gram, most).groupBy(c, "digest").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    found = factors(entries, window, gram, most).select(c, "digest", "lo", "hi")
     return (
         near.select("_id", "_th", "starts", c, "digest").join(found, ["c", "digest"])
-        .select("_id", "_th", F.explode("starts").alias("start"), "spans").select("_id", "_th", "start", F.explode("spans").alias("span"))
-        .groupBy("_id", "_th").agg(F.collect_set(F.struct((F.col("start") + F.col("span.lo")).alias("lo"), (F.col("start") + F.col("span.hi")).alias("hi"))).alias("gone"))
+        .select("_id", "_th", F.explode("starts").alias("start"), "lo", "hi")
+        .groupBy("_id", "_th").agg(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("gone"))
     )
 
 
