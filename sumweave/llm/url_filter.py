@@ -83,23 +83,46 @@ def _matched(pages: DataFrame, rules) -> DataFrame:
     return pages.join(found, ["host", "path"], "left").withColumns({"rule": F.col("best.rule"), "action": F.col("best.action")}).drop("best")
 
 
-def _targets(html: Column, tag: str, value: str) -> Column:
-    """The value in each such tag of the html, with its &amp; decoded."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(1)), lambda t: F.regexp_extract(t, value, 1))
-    return F.transform(F.filter(found, lambda x: x != ""), lambda x: F.regexp_replace(x, r"(?i)&(amp|#0*38|#x0*26);", "&"))
+#: An attribute of a tag: its name, and its value in quotes, which may hold a >, or without.
+_ATTRIBUTE = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+"""
+#: What holds no tags: comments, and elements whose content is text.
+_TEXT = r"(?is)<!--.*?-->|<(script|style|textarea|title|noscript|xmp|iframe)\b[^>]*+>.*?</\1\s*+>"
+
+
+def _tags(html: Column, name: str) -> Column:
+    """The attributes of each tag of that name, as maps of lower-case names to values with &amp; decoded; the first of a
+    name counts."""
+
+    def pair(a: Column) -> Column:
+        value = F.btrim(F.regexp_extract(a, r"(?s)^[^=]+=\s*+(.*)$", 1))
+        value = F.when(value.rlike(r"""^["']"""), F.substring(value, 2, F.length(value) - 2)).otherwise(value)
+        return F.struct(ascii_lower(F.regexp_extract(a, r"^[^\s=]+", 0)).alias("k"), F.regexp_replace(F.btrim(value), r"(?i)&(amp|#0*38|#x0*26);", "&").alias("v"))
+
+    bodies = F.regexp_extract_all(html, F.lit(rf"(?i)<{name}(?=[\s/])((?:[\s/]++|{_ATTRIBUTE})*+)>"), F.lit(1))
+    return F.transform(bodies, lambda body: F.transform(F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0)), pair))
+
+
+def _value(attributes: Column, name: str) -> Column:
+    """Of the first attribute of that name; empty without one."""
+    return F.coalesce(F.get(F.filter(attributes, lambda a: a["k"] == name), F.lit(0))["v"], F.lit(""))
+
+
+def _targets(html: Column) -> Column:
+    """Canonical urls and refreshes' urls of a page."""
+    canonical = F.filter(_tags(html, "link"), lambda t: ascii_lower(_value(t, "rel")).rlike(r"(^|\s)canonical(\s|$)"))
+    refresh = F.filter(_tags(html, "meta"), lambda t: ascii_lower(_value(t, "http-equiv")) == "refresh")
+    to = lambda t: F.btrim(F.regexp_extract(_value(t, "content"), r"""(?is)^\s*+[0-9.]*+\s*+[;,]?\s*+(?:url\s*+=\s*+)?["']?([^"']+)""", 1))
+    return F.filter(F.concat(F.transform(canonical, lambda t: _value(t, "href")), F.transform(refresh, to)), lambda x: x != "")
 
 
 def links(pages: DataFrame) -> DataFrame:
     """Edges (u, v) from a page to its canonical urls and to where it refreshes, as absolute urls' nodes. Relative ones
-    start from the page's <base>, or from its url."""
-    html, url = F.col("html"), F.col("url")
-    href = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    canonical = _targets(html, r"(?i)<link\b([^>]*\brel\s*=\s*[\"']?canonical\b[^>]*)>", href)
-    refresh = _targets(html, r"(?i)<meta\b([^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*)>", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)")
-    base = F.get(_targets(html, r"(?i)<base\b([^>]*)>", href), F.lit(0))
+    start from the page's <base>, or from its url. Tags in comments, scripts and the like are none."""
+    url = F.col("url")
+    held = pages.where(F.col("html").rlike(r"(?i)\b(?:canonical|refresh)\b") & node(url).isNotNull()).select("url", F.regexp_replace("html", _TEXT, " ").alias("html"))
+    bases = F.filter(F.transform(_tags(F.col("html"), "base"), lambda t: _value(t, "href")), lambda x: x != "")
     return (
-        pages.where(html.rlike(r"(?i)<link\b[^>]*\bcanonical\b|<meta\b[^>]*\brefresh\b") & node(url).isNotNull())
-        .select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("to"))
+        held.select("url", F.get(bases, F.lit(0)).alias("base"), F.explode(_targets(F.col("html"))).alias("to"))
         .select("url", let(F.coalesce(let(resolved(url, F.col("base")), lambda x: F.when(F.instr(x, "://") > 0, x)), url), lambda x: let(resolved(x, F.col("to")), node)).alias("v"))
         .select(node(url).alias("u"), "v")
         .where("u is not null and v is not null and u != v")
@@ -114,7 +137,7 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     no explicitly allowed one, else allowed; so an explicit allow goes before what spreads. redirects may add edges
     (columns u, v: urls) to those found in html; urls that only occur there count with their own rules.
     Null url or one without ://: empty host and path, no links, allowed. Null html: no links. Repeated rows are judged
-    alike. No pages give no rows.
+    alike. Other columns are left out. No pages give no rows. A very long html is searched whole, in one task.
 
     The links are found in one scan and written to the shared folder; without any, no join is made. Otherwise only linked
     urls are shuffled for the components, and the result of each component is an aggregate.

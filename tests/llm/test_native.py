@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
-from urllib.parse import urljoin
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +122,74 @@ def test_forms_of_links(spark):
     assert {(r["u"], r["v"]) for r in got.collect()} == {("http://u.test/a/b/1.html?x=1", v) for v in first} | {("http://e.test", "http://e.test/k")}
 
 
+class Linked(HTMLParser):
+    """Where a page leads, by the standard library's parser."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.base, self.to = None, []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        a = {}
+        for k, v in attrs:
+            a.setdefault(k, (v or "").strip())
+        if tag == "base" and self.base is None:
+            self.base = a.get("href") or None
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split() and a.get("href"):
+            self.to.append(a["href"])
+        if tag == "meta" and a.get("http-equiv", "").lower() == "refresh" and (m := re.match(r"""[0-9.]*+\s*+[;,]?\s*+(?:url\s*=\s*)?["']?([^"']+)""", a.get("content", ""), re.I)):
+            self.to.append(m[1].strip())
+
+
+def some_page(r):
+    def attribute(k, v):
+        k, v = r.choice([k, k.upper(), k.title()]), v.replace("&", "&amp;")
+        quote = r.choice(['"', "'", ""] if v and not set(v) & set(" ><'=;") else ['"', "'"] if "'" not in v else ['"'])
+        return f"{k}{r.choice(['=', ' = '])}{quote}{v}{quote}"
+
+    def tag(name, *attrs):
+        odd = [("title", r.choice(["a > b", "rel=canonical href=/no", "it's", "x/y"])), ("data-href", "/no"), ("media", "all"), ("crossorigin", "")]
+        attrs = [attribute(k, v) for k, v in r.sample(odd, r.randrange(3)) + list(attrs)]
+        r.shuffle(attrs)
+        return f"<{r.choice([name, name.upper()])} {r.choice([' ', chr(10)]).join(attrs)}{r.choice(['', ' /', ' '])}>"
+
+    refs = ["2.html", "../x", "/r/./s/../t", "?p=2&q=3", "//V.test/q", "http://w.test/k#f", "a/b/", "mailto:a@b.test", "#end", "", "http://a.net/x", "d=e"]
+    ref = lambda: r.choice(refs)
+    parts = [
+        lambda: tag("link", ("rel", r.choice(["canonical", "Canonical", "next canonical", "stylesheet", "notcanonical"])), ("href", ref())),
+        lambda: tag("meta", ("http-equiv", r.choice(["refresh", "Refresh", "content-type"])), ("content", r.choice(["0; url={}", "5;URL='{}'", "1,{}", "3"]).format(ref()))),
+        lambda: tag("base", ("href", ref())), lambda: f"<!-- {tag('link', ('rel', 'canonical'), ('href', '/commented'))} -->",
+        lambda: "<script>var x = '<link rel=canonical href=/script>';</script>", lambda: "<p>refresh > canonical <link\n</p>", lambda: "<title>x</title>", lambda: "<linked rel=canonical href=/no>",
+    ]
+    return "<html>" + "\n".join(r.choice(parts)() for _ in range(r.randrange(6))) + "</html>"
+
+
+def test_links_of_random_pages(spark):
+    r, rows, want = random.Random(17), [], set()
+    trim = lambda u: (lambda s: f"{s.scheme}://{s.netloc.lower()}{s.path}{'?' + s.query if s.query else ''}" if s.netloc else None)(urlsplit(u))
+    for k in range(1500):
+        url, html = f"http://U.test/d{k}/e/1.html?x=1", some_page(r)
+        rows.append((k, url, html, "x"))
+        found = Linked(html)
+        base = urljoin(url, found.base or "")
+        base = base if "://" in base else url
+        for ref in found.to:
+            to = trim(urljoin(base, ref))
+            if to and to != trim(url):
+                want.add((trim(url), to))
+    got = {(x["u"], x["v"]) for x in url_filter.links(spark.createDataFrame(rows, "page_id long, url string, html string, u string")).collect()}
+    assert len(want) > 400 and got == want
+
+
+def test_long_html_and_long_tags(spark):
+    tag = "<link " + " ".join(f'data-{k}="> {k}"' for k in range(1500)) + " rel=canonical href='http://a.net/x'>"
+    rows = [(1, "http://u.test/1", "<p>x</p>" * 300_000 + tag), (2, "http://u.test/2", "<link rel=canonical title='" + "x" * 300_000), (3, "http://u.test/3", "<!-- canonical " * 1000)]
+    got = url_filter.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "allow", 3: "allow"}
+
+
 def test_blocks_spread_over_relative_links(spark):
     rows = [(1, "http://u.test/a/1", "<meta http-equiv=refresh content='0;url=2.html'>"), (2, "http://u.test/a/2.html", "<link rel=canonical href=http://u.test/c><link rel=canonical href='//b.net/?x=1&amp;y=2'>"), (3, "http://b.net/?x=1&y=2", None), (4, "http://u.test/c", None)]
     got = url_filter.query(spark.createDataFrame(rows, "page_id long, url string, html string"))
