@@ -56,6 +56,7 @@ QUERIES = {
     )
 }
 ORACLE_SQL = {
+    "op1_near_dedup": near_dedup.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_quality": quality.ORACLE_SQL,

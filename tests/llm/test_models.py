@@ -277,7 +277,7 @@ def test_pipeline_query(spark):
     assert first and sorted(map(repr, first)) == sorted(map(repr, again))
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op6_substring_dedup", "op7_quality", "op8_url_filter", "op10_sharding"])
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op4_line_dedup", "op6_substring_dedup", "op7_quality", "op8_url_filter", "op10_sharding"])
 def test_registered_sql(spark, name):
     import duckdb
 
