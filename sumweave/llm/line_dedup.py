@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_key, let
+from .common import ascii_lower, id_key, let, written
 
 BLANKS = " \u0009\u000a\u000b\u000c\u000d"
 
@@ -38,14 +38,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
 
     Returns doc_id, kept (text), n_lines, n_dropped, one row for each row of docs.
     Null or empty text: one empty line. Null doc_id: one document that comes after all others. Rows that repeat a
-    doc_id are one document. Other columns are left out. An empty table gives no rows.
+    doc_id are one document. Other columns are left out. An empty table gives no rows. A very long text is split in one
+    task, and its lines are dealt out by key like others.
 
-    A key is known by two 64-bit hashes. Only hashes, ids and positions are shuffled by key, with partial aggregation
-    first, and the join that finds the dropped lines is one that adaptive execution can split at a hot key; the texts are
+    A key is known by two 64-bit hashes. Lines are exploded and hashed once: hashes, ids and positions are written to the
+    shared folder, and only these are shuffled by key, with partial aggregation first, and the join that finds the dropped lines is one that adaptive execution can split at a hot key; the texts are
     shuffled once, by document.
     """
     rows = docs.select("doc_id", "text").withColumns({"_id": id_key(F.col("doc_id")), "_th": F.xxhash64("text")})
-    keys = (
+    keys = written(
         rows.select("_id", "_th", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
         .select("_id", "_th", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)
@@ -58,7 +59,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
             keys.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one"))
             .groupBy("h1", "h2").agg(F.min("_id").alias("keep"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
         )
-    # h makes the join deal shared anew: adaptive execution can only split the join's own exchanges at a hot key
+    # h makes the join deal both sides anew: adaptive execution can only split the join's own exchanges at a hot key
     h = F.col("h1").bitwiseXOR(F.col("h2")).alias("h")
     dropped = (
         keys.select("_id", "_th", "pos", h, "h1").join(shared.select(h, "h1", "keep"), ["h", "h1"])

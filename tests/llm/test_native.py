@@ -59,6 +59,11 @@ def test_lines_of_no_documents(spark):
     assert line_dedup.query(documents(spark, [])).count() == 0
 
 
+def test_lines_of_a_very_long_text(spark):
+    rows = [(1, "\n".join(f"line number {k % 70_000}" for k in range(90_000))), (2, f"line number 5\n{'x' * 3_000_000}\nown line of two"), (3, "x" * 3_000_000)]
+    assert sorted(map(tuple, line_dedup.query(documents(spark, rows)).collect()), key=repr) == brute_lines(rows)
+
+
 def test_lines_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, LONG, 5, "h"), (2, LONG, 6, "h")], "doc_id long, text string, pos long, h1 string")
     assert {(r["doc_id"], r["n_dropped"]) for r in line_dedup.query(df).collect()} == {(1, 0), (2, 1)}
