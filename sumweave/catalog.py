@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .folders import new_folder
 from .plans.spec import UnknownColumn, UnknownRelation
 from .plans.stats import StatsStore
 
@@ -17,20 +19,34 @@ class Catalog:
         self.spark, self._frames = spark, {}
         self.stats = StatsStore()
 
-    def register(self, df: DataFrame, relation: int | None = None, view: bool = False) -> int:
+    def register(self, df: DataFrame, relation: int | None = None, view: bool = False, check: bool = False, bucket_by: int | None = None, buckets: int = 200) -> int:
         """Columns are renamed c0, c1, ... by place; integers become longs, decimals decimal(20,0). Without an id the next
-        ordinal is taken. view also makes a temp view r<id>."""
+        ordinal is taken. view also makes a temp view r<id>.
+
+        Values are unsigned: nulls and negative numbers don't belong in a relation, and check, a scan, raises for them.
+        bucket_by: a column's number. The relation is written to the shared folder once, dealt by this column into so many
+        buckets and sorted within them; joins on the column with relations dealt into as many need no exchange then."""
         kinds = [f.dataType for f in df.schema.fields]
         for name, kind in zip(df.columns, kinds, strict=True):
             if not isinstance(kind, (T.IntegralType, T.DecimalType)):
                 raise TypeError(f"column {name} is {kind.simpleString()}; relations hold unsigned integers")
         cols = [F.col(f"`{c}`").cast("decimal(20,0)" if isinstance(k, T.DecimalType) else "long").alias(f"c{i}") for i, (c, k) in enumerate(zip(df.columns, kinds, strict=True))]
         relation = len(self._frames) if relation is None else relation
-        self._frames[relation] = df.select(*cols)
+        df = df.select(*cols)
+        if check:
+            bad = df.agg(*(F.count_if(F.col(c).isNull() | (F.col(c) < 0)).alias(c) for c in df.columns)).first()
+            if any(bad):
+                raise ValueError(f"relation {relation} has null or negative values: {bad.asDict()}")
+        self._frames[relation] = df if bucket_by is None else self._bucketed(df, f"c{bucket_by}", buckets)
         if view:
             self._frames[relation].createOrReplaceTempView(f"r{relation}")
         return relation
 
+    def _bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        name = f"bucketed_{uuid.uuid4().hex}"
+        df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", new_folder(self.spark)).saveAsTable(name)
+        return self.spark.table(name)
+
     def frame(self, relation: int) -> DataFrame:
         if relation not in self._frames:
             raise UnknownRelation(f"no relation {relation}; there are {sorted(self._frames)}")

@@ -22,9 +22,10 @@ def render(row: Row | Iterable) -> str:
 
 class Engine:
     """order: `stats` plans joins of three relations and more by statistics, `written` takes the first connected order as
-    written. eager: aggregate leaves before joins. zero_is_null: a sum of 0 is null, like that of no rows."""
+    written. eager: aggregate leaves before joins; None: where some join is estimated to make more rows than all inputs
+    have. zero_is_null: a sum of 0 is null, like that of no rows."""
 
-    def __init__(self, catalog: Catalog, order: str = "stats", eager: bool = False, zero_is_null: bool = True, allow_cross: bool = False):
+    def __init__(self, catalog: Catalog, order: str = "stats", eager: bool | None = False, zero_is_null: bool = True, allow_cross: bool = False):
         if order not in ("stats", "written"):
             raise ValueError(f"order is stats or written, not {order!r}")
         self.catalog = catalog
@@ -41,10 +42,19 @@ class Engine:
         spec = self.spec(query)
         return plan(spec, self._stats(spec), self.allow_cross)
 
+    def cost(self, query: str | QuerySpec) -> float:
+        """Estimated rows that the query reads and makes, by statistics, whatever the number of relations."""
+        spec = self.spec(query)
+        return 0.0 if spec.empty else plan(spec, self._known(spec), self.allow_cross).cost
+
     def _stats(self, spec: QuerySpec):
         # with two relations there is one order, and Spark picks the sides
-        if self.order == "written" or len(spec.relations) < 3 or spec.empty:
+        least = 2 if self.eager is None else 3
+        if self.order == "written" or len(spec.relations) < least or spec.empty:
             return None
+        return self._known(spec)
+
+    def _known(self, spec: QuerySpec):
         return [self.catalog.stats.get(r, self.catalog.frame(r), spec.columns_of(b)) for b, r in enumerate(spec.relations)]
 
     def query(self, query: str | QuerySpec, signed: bool = False) -> DataFrame:
@@ -55,7 +65,8 @@ class Engine:
         steps = plan(spec, stats, self.allow_cross)
         if spec.empty:
             return null_row(spec, frames[0], signed)
-        if self.eager:
+        inputs = sum(next(iter(s.values())).rows for s in stats) if stats else 0
+        if self.eager or self.eager is None and stats and max(s.rows for s in steps.steps) > inputs:
             return eager_sums(spec, steps, frames, self.zero_is_null, signed)
         known = {ColumnRef(b, c): s for b, cols in enumerate(stats) for c, s in cols.items()} if stats else None
         return sums(spec, joined(spec, steps, frames), known, self.zero_is_null, signed)

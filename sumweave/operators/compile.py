@@ -55,12 +55,19 @@ def joined(spec: QuerySpec, plan: JoinPlan, frames: list[DataFrame]) -> DataFram
 
 def sums(spec: QuerySpec, rows: DataFrame, stats: dict[ColumnRef, ColumnStats] | None = None, zero_is_null: bool = True, signed: bool = False) -> DataFrame:
     """One row s0, s1, ...: each selection's sum. A column that is selected twice is summed once."""
-    parts = {}
+    parts, high = {}, {}
     for c in dict.fromkeys(spec.selections):
-        high = stats[c].high if stats and c in stats else None
-        parts[c] = limbs(F.col(c.name), rows.schema[c.name].dataType, high)
-    totals = rows.agg(*(F.sum(x).alias(f"{c.name}_{k}") for c, xs in parts.items() for k, x in enumerate(xs)))
-    return totals.select(*(from_limbs([F.col(f"{c.name}_{k}") for k in range(len(parts[c]))], zero_is_null, signed).alias(f"s{i}") for i, c in enumerate(spec.selections)))
+        if stats and c in stats:
+            high[c] = stats[c].high
+        parts[c] = limbs(F.col(c.name), rows.schema[c.name].dataType, high.get(c))
+    totals = rows.agg(*(F.sum(x).alias(f"{c.name}_{k}") for c, xs in parts.items() for k, x in enumerate(xs)), *(F.max(c.name).alias(f"{c.name}_high") for c in high))
+
+    def total(c: ColumnRef) -> Column:
+        out = from_limbs([F.col(f"{c.name}_{k}") for k in range(len(parts[c]))], zero_is_null, signed)
+        # fewer limbs are only right while the known maximum is
+        return F.when(F.col(f"{c.name}_high") > F.lit(high[c]), F.raise_error(F.lit(f"{c} has values above its known maximum {high[c]}; register the relation anew"))).otherwise(out) if c in high else out
+
+    return totals.select(*(total(c).alias(f"s{i}") for i, c in enumerate(spec.selections)))
 
 
 def null_row(spec: QuerySpec, frame: DataFrame, signed: bool = False) -> DataFrame:

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog
-from .folders import new_folder
 from .engine import Engine
+from .folders import new_folder
 from .plans.parse import parse
 from .plans.stats import stats_frame
 from .sources.binary import read_binary, write_binary, write_parts
 from .sources.tables import RELATIONS, catalog, duck_views
-from .sources.text import generated, read_tbl, write_tbl
+from .sources.text import export_relation, generated, read_tbl, write_tbl
+from .streaming.batch import BatchSession
 
 #: Name and text of each query, over the relations of sources.tables.
 TEXTS = {
@@ -29,11 +31,11 @@ TEXTS = {
     "filter_multi_column": "6 5|0.0=1.0&0.4>40&0.3<3&1.2>10000000|0.5 1.0",
     "join4_chain": "6 5 3 1|0.0=1.0&1.1=2.0&2.1=3.0&3.1=2|0.5 1.2 2.0",
     "join_star": "6 5 4 2|0.0=1.0&0.1=2.0&0.2=3.0&2.1<10|0.5 2.1 3.1",
-    "join_self": "3 3|0.1=1.1&0.0<50|0.0 1.0",
+    "join_self": "3 3|0.1=1.1|0.0 1.0",
     "join_composite_key": "6 6|0.0=1.0&0.1=1.1&0.3<3|0.4 1.4",
-    "join_cycle": "2 3 1|0.1=1.1&1.1=2.0&2.0=0.1&0.0<20|0.0 1.0",
-    "join_same_binding_eq": "6 5|0.0=1.0&0.3=0.4&1.0>100|0.5",
-    "join_fanout": "7 5|0.1=1.1&0.0<2000|0.2 1.2",
+    "join_cycle": "2 3 1|0.1=1.1&1.1=2.0&2.0=0.1|0.0 1.0",
+    "join_same_binding_eq": "6 5|0.0=1.0&0.3=0.4|0.5",
+    "join_fanout": "7 5|0.1=1.1|0.2 1.2",
     "sum_multi": "6 5|0.0=1.0&0.4>25|0.4 0.5 1.3",
     "sum_repeated_column": "6 5|0.0=1.0&0.4=7|0.4 0.4 1.0",
     "sum_zero_is_null": "1 0|0.1=1.0&1.0<1|0.1 0.0",
@@ -104,12 +106,60 @@ def generate_dummy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of two batches, longest first within each, by the batch protocol."""
+    lines = [TEXTS[k] for k in BATCH]
+    with BatchSession(Engine(catalog(spark, sf_dir))) as session:
+        answers = [x for line in [*lines[:4], "F", *lines[4:], "F"] for x in session.feed(line)]
+    return spark.createDataFrame(list(enumerate(answers)), "ordinal long, line string")
+
+
+def batch_as_one_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(catalog(spark, sf_dir)).batch_frame(TEXTS[k] for k in BATCH)
 
 
+_buckets: dict[tuple[SparkSession, str], Catalog] = {}
+
+
+def join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join of relations that were dealt by its key when they were registered; later queries find them so."""
+    key = (spark, sf_dir)
+    if key not in _buckets:
+        given, out = catalog(spark, sf_dir), Catalog(spark)
+        out.register(given.frame(6), 6, bucket_by=0, buckets=8)
+        out.register(given.frame(5), 5, bucket_by=0, buckets=8)
+        _buckets[key] = out
+    return Engine(_buckets[key]).query(TEXTS["join2_gt"], signed=True)
+
+
+def _exported(spark: SparkSession, sf_dir: str, relations: tuple[int, ...]) -> str:
+    folder = new_folder(spark, local=True)
+    for i, r in enumerate(relations):
+        export_relation(catalog(spark, sf_dir).frame(r), i, folder)
+    return folder
+
+
+def init_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query over the relations of an init list, as export writes it."""
+    folder = _exported(spark, sf_dir, (5, 3))
+    with open(f"{folder}/init") as f:
+        c = Catalog.from_init(spark, [*f, "Done"], folder)
+    return Engine(c).query("0 1|0.1=1.0&1.1=7|0.2 1.0", signed=True)
+
+
+def export_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and sums of a relation from each form that export writes."""
+    folder = _exported(spark, sf_dir, (3,))
+    name = f"made_{uuid.uuid4().hex}"
+    with open(f"{folder}/r0.sql") as f:
+        spark.sql(f.read().strip().rstrip(";").replace("TABLE r0 ", f"TABLE {name} "))
+    forms = {"binary": read_binary(spark, f"{folder}/r0"), "ddl": spark.table(name), "parquet": spark.read.parquet(f"{folder}/r0.parquet"), "tbl": read_tbl(spark, f"{folder}/r0.tbl", 2)}
+    each = [df.agg(F.count("*").alias("n"), F.sum("c0").alias("s0"), F.sum("c1").alias("s1")).select(F.lit(k).alias("form"), "*") for k, df in forms.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: partial(_text, text=text) for name, text in TEXTS.items() if name != "planned_order_equivalence"},
-    **{f.__name__: f for f in (planned_order_equivalence, join_fanout_eager, sum_unsigned_wrap, column_stats, scan_tbl, scan_binary, export_roundtrip, generate_dummy, batch_in_order)},
+    **{f.__name__: f for f in (planned_order_equivalence, join_fanout_eager, sum_unsigned_wrap, column_stats, scan_tbl, scan_binary, export_roundtrip, generate_dummy, batch_in_order, batch_as_one_job, join_bucketed, init_list, export_forms)},
 }
 
 
@@ -139,7 +189,10 @@ def _oracles() -> dict[str, str]:
         spec = parse(TEXTS[k])
         line = " || ' ' || ".join(f"COALESCE(CAST(s{j} AS VARCHAR), 'NULL')" for j in range(len(spec.selections)))
         lines.append(f"SELECT CAST({i} AS BIGINT) AS ordinal, {line} AS line FROM ({spec.to_sql()}) q{i}")
-    out["batch_in_order"] = f"{duck_views()} " + " UNION ALL ".join(lines)
+    out["batch_in_order"] = out["batch_as_one_job"] = f"{duck_views()} " + " UNION ALL ".join(lines)
+    out["join_bucketed"] = out["join2_gt"]
+    out["init_list"] = out["export_roundtrip"]
+    out["export_forms"] = f"{duck_views()} " + " UNION ALL ".join(f"SELECT '{k}' AS form, COUNT(*) AS n, CAST(SUM(c0) AS BIGINT) AS s0, CAST(SUM(c1) AS BIGINT) AS s1 FROM r3" for k in ("binary", "ddl", "parquet", "tbl"))
     return out
 
 

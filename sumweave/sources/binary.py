@@ -6,12 +6,14 @@ from __future__ import annotations
 
 import glob
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: Rows of an input partition, and of a batch.
@@ -64,22 +66,39 @@ class _Part(WriterCommitMessage):
         self.path = path
 
 
-class _Writer(DataSourceWriter):
-    """Each task writes a part of its own in the same format; commit leaves parts of tasks that succeeded only."""
+def _unsigned(a: pa.Array) -> np.ndarray:
+    if a.null_count:
+        raise ValueError("relations hold no nulls")
+    if pa.types.is_decimal(a.type):
+        a = a.cast(pa.decimal128(20, 0)).cast(pa.uint64())
+    return a.to_numpy().astype("<u8")
+
+
+class _Writer(DataSourceArrowWriter):
+    """Each task writes a part of its own in the same format; commit leaves parts of tasks that succeeded only. A task
+    appends each batch to a file for each column, and then puts these together; it holds a batch at a time."""
 
     def __init__(self, path: str, columns: int):
         self.path, self.columns = path, columns
 
-    def write(self, rows: Iterator) -> _Part:
-        import uuid
-
-        held = [np.fromiter((int(v) for v in c), np.uint64) for c in zip(*rows, strict=True)] or [np.zeros(0, np.uint64)] * self.columns
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Part:
         os.makedirs(self.path, exist_ok=True)
-        name = f"{self.path}/.{uuid.uuid4().hex}"
-        with open(name, "wb") as f:
-            np.array([len(held[0]), self.columns], "<u8").tofile(f)
-            for c in held:
-                c.astype("<u8").tofile(f)
+        name, rows = f"{self.path}/.{uuid.uuid4().hex}", 0
+        columns = [open(f"{name}.{k}", "w+b") for k in range(self.columns)]
+        try:
+            for b in batches:
+                rows += b.num_rows
+                for f, c in zip(columns, b.columns, strict=True):
+                    f.write(_unsigned(c).tobytes())
+            with open(name, "wb") as out:
+                np.array([rows, self.columns], "<u8").tofile(out)
+                for f in columns:
+                    f.seek(0)
+                    shutil.copyfileobj(f, out, 1 << 24)
+        finally:
+            for f in columns:
+                f.close()
+                os.remove(f.name)
         return _Part(name)
 
     def commit(self, messages: list[_Part]) -> None:
@@ -121,10 +140,18 @@ def write_parts(df: DataFrame, path: str) -> None:
     df.write.format("u64columns").mode("append").save(path)
 
 
+#: Bytes of a relation that write_binary puts into one file; the driver copies them.
+ONE_FILE = 8 << 30
+
+
 def write_binary(df: DataFrame, path: str) -> None:
-    """One binary file: parts are written in parallel, then copied column by column."""
+    """One binary file for a relation of up to ONE_FILE bytes: parts are written in parallel, then copied column by
+    column by the driver. A larger relation stays a folder of parts, which is read alike."""
     parts = f"{path}.parts"
     write_parts(df, parts)
+    if sum(os.path.getsize(f) for f in _files(parts)) > ONE_FILE:
+        os.rename(parts, path)
+        return
     files = [f for f in _files(parts)]
     heads = [header(f) for f in files]
     rows, columns = sum(n for n, _ in heads), len(df.columns)

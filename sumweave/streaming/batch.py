@@ -31,7 +31,7 @@ class BatchSession:
 
     def order(self) -> list[int]:
         """Places of the pending queries, by cost, highest first."""
-        costs = [self.engine.plan(q).cost for q in self.pending]
+        costs = [self.engine.cost(q) for q in self.pending]
         return sorted(range(len(costs)), key=lambda i: costs[i], reverse=True)
 
     def flush(self) -> list[str]:

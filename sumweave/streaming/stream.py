@@ -8,11 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..engine import Engine
 
 
-def answer_stream(engine: Engine, source: str, sink: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def answer_stream(engine: Engine, source: str, sink: str, checkpoint: str, available_now: bool = True, files: int = 100) -> StreamingQuery:
     """Reads query lines from text files that appear in source, and writes (batch, ordinal, query, line) as Parquet to sink.
-    The lines of a micro-batch, which are few beside the data they ask about, come to the driver; `F` lines end nothing
+    The lines of a micro-batch, which has so many files at most, come to the driver; `F` lines end nothing
     here and are passed over. A micro-batch that is repeated after a failure overwrites its own folder."""
-    lines = engine.catalog.spark.readStream.text(source)
+    lines = engine.catalog.spark.readStream.option("maxFilesPerTrigger", files).text(source)
 
     def answer(batch: DataFrame, number: int) -> None:
         queries = [q for q in (r["value"].strip() for r in batch.collect()) if q and q != "F"]

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 from decimal import Decimal
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from sumweave.catalog import Catalog
 from sumweave.engine import Engine, render
 from sumweave.plans.spec import ColumnRef, Filter, Join, QuerySpec, UnknownColumn, UnknownRelation
-from sumweave.streaming.batch import BatchSession
+from sumweave.streaming.batch import BatchSession, run_workload
 from sumweave.streaming.stream import answer_stream
 
 TABLES = {
@@ -49,7 +50,7 @@ def some_query(r):
     return QuerySpec(tuple(ids), tuple(joins), tuple(filters), tuple(column(r.randrange(n)) for _ in range(r.randrange(1, 4))))
 
 
-@pytest.mark.parametrize("options", [{}, {"order": "written"}, {"eager": True}])
+@pytest.mark.parametrize("options", [{}, {"order": "written"}, {"eager": True}, {"eager": None}])
 def test_random_queries_against_duckdb(catalog, duck, options):
     engine, r = Engine(catalog, **options), random.Random(11)
     specs = [some_query(r) for _ in range(12)]
@@ -106,10 +107,73 @@ def test_batches_answer_in_order(catalog):
         got = [s.feed(line) for line in [*queries[:2], "F", "", queries[2], "F", queries[3]]]
     assert got == [[], [], want[:2], [], [], want[2:3], []] and s.rest == want[3:]
     assert engine.batch([*queries, "F"]) == want
-    costly = BatchSession(engine)
-    for q in queries:
-        costly.feed(q)
-    assert costly.order()[0] == 1
+
+
+def test_batches_run_the_longest_first(spark):
+    # a large scan, a large join of two and a tiny join of three relations
+    c = Catalog(spark)
+    for n in (20_000, 10_000, 5, 4):
+        c.register(spark.range(n).selectExpr("id as a", "id % 7 as b"))
+    session = BatchSession(Engine(c))
+    for q in ("2 3 2|0.0=1.0&1.1=2.1|0.0", "1|0.0>4|0.1", "0 1|0.1=1.1|0.0", "2||0.0", "0|0.0>5&0.0<3|0.0", "0 1|0.0=1.0|0.0"):
+        session.feed(q)
+    assert session.order() == [2, 5, 1, 0, 3, 4]
+
+
+def test_workloads_are_replayed(catalog, tmp_path):
+    queries = ["0|0.0<9|0.0", "0 1|0.1=1.1|0.0 1.1", "F", "1|0.0=3|0.1", "F"]
+    answers = Engine(catalog).batch(queries)
+    (tmp_path / "w").write_text("\n".join(queries) + "\n")
+    (tmp_path / "r").write_text("\n".join(answers) + "\n")
+    assert run_workload(Engine(catalog), str(tmp_path / "w"), str(tmp_path / "r")) == answers
+    (tmp_path / "r").write_text("\n".join([*answers[:2], "7"]) + "\n")
+    with pytest.raises(AssertionError, match="line 3"):
+        run_workload(Engine(catalog), str(tmp_path / "w"), str(tmp_path / "r"))
+
+
+def test_joins_that_fan_out_are_aggregated_first(spark):
+    c = Catalog(spark)
+    c.register(spark.range(2000).selectExpr("id as a", "id % 5 as b"))
+    c.register(spark.range(3000).selectExpr("id as a", "id % 5 as b"))
+    many, one = "0 1|0.1=1.1|0.0 1.0", "0 1|0.0=1.0|0.1 1.0"
+    plan = lambda q, **options: Engine(c, **options).query(q)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+    assert (plan(many, eager=None), plan(one, eager=None), plan(many), plan(many, eager=True)) == (3, 1, 1, 3)
+    assert Engine(c, eager=None).run(many) == Engine(c).run(many)
+
+
+def test_repeated_joins_of_bucketed_relations_need_no_exchange(spark):
+    c = Catalog(spark)
+    rows = [spark.range(4000).selectExpr("id % 900 as a", "id as b"), spark.range(900).selectExpr("id as a", "id * 3 as b")]
+    for k, df in enumerate(rows):
+        c.register(df, k)
+        c.register(df, 10 + k, bucket_by=0, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = lambda q: Engine(c).explain(q).count("hashpartitioning(")
+        assert dealt("0 1|0.0=1.0|0.1 1.1") > 0
+        for plain, q in (("0 1|0.0=1.0|0.1 1.1", "10 11|0.0=1.0|0.1 1.1"), ("0 1 0|0.0=1.0&1.0=2.0&0.1>5|0.1 1.1", "10 11 10|0.0=1.0&1.0=2.0&0.1>5|0.1 1.1")):
+            assert dealt(q) == 0 and Engine(c).run(q) == Engine(c).run(plain)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_values_above_a_known_maximum_raise(spark):
+    c = Catalog(spark)
+    for _ in range(3):
+        c.register(spark.range(50).selectExpr("id as a", "id * 1000 as b"))
+    engine, q = Engine(c), "0 1 2|0.0=1.0&1.0=2.0|0.1"
+    assert engine.run(q) == str(sum(k * 1000 for k in range(50)))
+    c.stats._kept[0][1][1] = replace(c.stats._kept[0][1][1], high=40_000)
+    with pytest.raises(Exception, match="known maximum"):
+        engine.run(q)
+
+
+def test_checked_relations(spark):
+    c = Catalog(spark)
+    for value in (-1, None):
+        with pytest.raises(ValueError, match="null or negative"):
+            c.register(spark.createDataFrame([(1,), (value,)], "a long"), check=True)
+    assert c.register(spark.createDataFrame([(1,), (0,)], "a long"), check=True) == 0
 
 
 def test_stream_of_queries(catalog, spark, tmp_path):

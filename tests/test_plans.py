@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 
 from sumweave.plans.normalize import normalize
 from sumweave.plans.parse import parse
-from sumweave.plans.planner import plan
+from sumweave.plans.planner import _leaf, plan
 from sumweave.plans.spec import ColumnRef, DisconnectedQuery, Filter, Join, ParseError, QuerySpec, UnsupportedPredicate
 from sumweave.plans.stats import ColumnStats
 
@@ -81,6 +81,17 @@ def test_estimates_stay_finite_for_empty_and_disjoint_inputs():
     assert plan(spec, [stats(10, (9, 10)), empty, {0: ColumnStats(5, 100, 200, 5)}]).cost >= 0
 
 
+def test_filters_leave_fewer_values_of_other_columns():
+    # 1,000 rows with 100 values of column 1; a tenth of the rows holds about 100 (1 - 0.9**10) = 65 of them
+    spec = normalize(parse("0 1|0.0<100&0.1=1.0|0.0"))
+    rows, bounds = _leaf(spec, 0, stats(1000, (999, 1000), (99, 100)))
+    assert rows == pytest.approx(100) and bounds[ColumnRef(0, 1)][2] == pytest.approx(100 * (1 - 0.9**10), rel=0.01)
+
+
+def test_a_scan_costs_its_rows():
+    assert plan(normalize(parse("0|0.0<5|0.0")), [stats(1000, (999, 1000))]).cost == 1000
+
+
 def test_disconnected():
     spec = normalize(parse("0 1|0.0>1|0.0"))
     with pytest.raises(DisconnectedQuery):

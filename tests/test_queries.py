@@ -9,8 +9,8 @@ ANSWERS = {
     "join2_gt": "159570204839 750878549689", "join3_chain_gt": "87989000 97794", "filter_lt": "57813132479 278754",
     "filter_eq": "18654168033 563920", "filter_gt": "961692 297", "filter_range": "100737049053",
     "filter_multi_column": "14901438518 20702126", "join4_chain": "65504439079 311786178290 9171175",
-    "join_star": "55953186355 50247 123050", "join_self": "74539 2287806", "join_composite_key": "436694 436625",
-    "join_cycle": "11528 911074", "join_same_binding_eq": "6931029210", "join_fanout": "94823333 472782170913",
+    "join_star": "55953186355 50247 123050", "join_self": "68768595 68768595", "join_composite_key": "436694 436625",
+    "join_cycle": "291811 4457936", "join_same_binding_eq": "6982950564", "join_fanout": "473926161 2366942901601",
     "sum_multi": "1134636 159034946970 308912002", "sum_repeated_column": "8435 8435 8799860", "sum_zero_is_null": "NULL 50",
     "sum_empty_is_null": "NULL", "norm_weak_filters": "7992950", "norm_contradiction_eq": "NULL",
     "norm_contradiction_range": "NULL", "norm_duplicate_predicate": "12344327873",

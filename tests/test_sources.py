@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sumweave.catalog import Catalog
+from sumweave.sources import binary
 from sumweave.sources.binary import header, read_binary, write_binary, write_parts
 from sumweave.sources.text import ddl, export_relation, generated, read_tbl, write_tbl
 
@@ -55,6 +56,20 @@ def test_binary_unsigned(spark, tmp_path):
         read_binary(spark, str(tmp_path / "u")).collect()
 
 
+def test_binary_of_unsigned_and_of_many_batches(spark, tmp_path, monkeypatch):
+    high = spark.createDataFrame([(Decimal((1 << 64) - 1),), (Decimal(7),)], "c0 decimal(20,0)")
+    write_binary(high, str(tmp_path / "high"))
+    assert sorted_rows(read_binary(spark, str(tmp_path / "high"), unsigned=True)) == [(Decimal(7),), (Decimal((1 << 64) - 1),)]
+    many = spark.range(50_000).selectExpr("id as c0", "id * 2 as c1").coalesce(1)
+    write_binary(many, str(tmp_path / "many"))
+    assert sorted_rows(read_binary(spark, str(tmp_path / "many"))) == sorted_rows(many)
+    monkeypatch.setattr(binary, "ONE_FILE", 100)
+    write_binary(many.repartition(3), str(tmp_path / "parts"))
+    assert len(list((tmp_path / "parts").glob("part-*.bin"))) == 3 and sorted_rows(read_binary(spark, str(tmp_path / "parts"))) == sorted_rows(many)
+    with pytest.raises(Exception, match="nulls"):
+        write_binary(spark.createDataFrame([(None,)], "c0 long"), str(tmp_path / "null"))
+
+
 def test_truncated_binary(spark, tmp_path):
     np.array([9, 2, 1], "<u8").tofile(tmp_path / "short")
     with pytest.raises(ValueError, match="shorter"):
