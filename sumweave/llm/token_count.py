@@ -231,8 +231,9 @@ def count_tokens(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, st
     """Tokens of each row of docs (doc_id, text) before and after its edits, which are applied from the last to the first;
     n_reencoded: the pre-tokens that they encoded anew.
 
-    Null and empty texts: all zeros. Repeated rows count alike; no documents give no rows; other columns are left out. A map
-    over documents: nothing is shuffled. The vocabulary (path, pattern) is read by each worker from its own path.
+    Null and empty texts: all zeros. Repeated rows count alike; no documents give no rows; other columns are left out. Of
+    edits that start at one place the first in the list stays. A very long text is one tree in one task. A map over
+    documents: nothing is shuffled. The vocabulary (path, pattern) is read by each worker from its own path.
     """
     path, pattern = vocabulary or default_vocabulary()
     kind = docs.schema["doc_id"].dataType.simpleString()

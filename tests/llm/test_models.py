@@ -40,6 +40,15 @@ def test_token_counts(spark):
     assert tc.query(documents(spark, [])).count() == 0
 
 
+def test_token_counts_of_long_and_clashing_rows(spark):
+    tok = tc.tokenizer(*tc.default_vocabulary())
+    text = " ".join(f"word{k % 977} it's 10.0.0.{k % 200}" for k in range(30_000))
+    rows = [(1, text, "x", 1), (2, "a" * 100_000, "x", 1)]
+    got = tc.query(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, n_edits int")).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {d: len(tok.encoding.encode_ordinary(t)) for d, t, *_ in rows}
+    assert {r["doc_id"]: r["n_edits"] for r in got} == {1: 30_000, 2: 0}
+
+
 def test_edits_of_trees():
     tok = tc.tokenizer(*tc.default_vocabulary())
     parts = ["a", "'", "s", "'ll", " ", "  ", "\n", "\t ", "é", "1", "12", "!", "don't", "'re x", "     ", "\n\n", "漢字", "x"]

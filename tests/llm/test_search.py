@@ -89,6 +89,13 @@ def test_near_duplicates_edge_rows(spark):
     assert nd.query(documents(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    long = some_text(200_000)
+    rows = [(1, long), (2, edited(long, 3000)), (3, long[: len(long) // 2]), (4, some_text(30)), (5, "x" * 2_000_000)]
+    extra = spark.createDataFrame([(*r, "a", 1, 2) for r in rows], "doc_id long, text string, bands string, size int, key int")
+    assert {r["doc_id"]: r["class_id"] for r in nd.query(extra).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
 def test_signatures_estimate_weighted_jaccard():
     a = ("one two three four five " * 9 + some_text(150)).strip()
     pairs = [(a, edited(a, k)) for k in (0, 3, 8, 20)] + [("x y z u v w " * 10, "x y z u v w " * 4)]
