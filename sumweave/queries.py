@@ -19,6 +19,7 @@ from .sources.binary import read_binary, write_binary, write_parts
 from .sources.tables import RELATIONS, catalog, duck_views
 from .sources.text import export_relation, generated, read_tbl, write_tbl
 from .streaming.batch import BatchSession
+from .streaming.stream import answer_stream
 
 #: Name and text of each query, over the relations of sources.tables.
 TEXTS = {
@@ -80,6 +81,28 @@ def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def known_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and ranges as plans ask for them, a few columns at a time."""
+    c, rows = catalog(spark, sf_dir), []
+    for i, columns in ((6, [0, 4]), (6, [4, 5]), (3, [1])):
+        found = c.stats.get(i, c.frame(i), columns)
+        rows += [(i, k, found[k].rows, found[k].low, found[k].high) for k in columns]
+    return spark.createDataFrame(rows, "relation int, column int, rows long, low long, high long").distinct()
+
+
+def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each query after it was parsed."""
+    return spark.createDataFrame([(k, parse(t).to_text()) for k, t in TEXTS.items()], "name string, text string")
+
+
+def stream_of_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers to a file of query lines, read and answered as a stream."""
+    folder = new_folder(spark)
+    spark.createDataFrame([(TEXTS[k],) for k in BATCH], "value string").coalesce(1).write.text(f"{folder}/in")
+    answer_stream(Engine(catalog(spark, sf_dir)), f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("ordinal", "line")
+
+
 def scan_tbl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{new_folder(spark)}/orders.tbl"
     write_tbl(catalog(spark, sf_dir).frame(5), path)
@@ -159,7 +182,7 @@ def export_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: partial(_text, text=text) for name, text in TEXTS.items() if name != "planned_order_equivalence"},
-    **{f.__name__: f for f in (planned_order_equivalence, join_fanout_eager, sum_unsigned_wrap, column_stats, scan_tbl, scan_binary, export_roundtrip, generate_dummy, batch_in_order, batch_as_one_job, join_bucketed, init_list, export_forms)},
+    **{f.__name__: f for f in (planned_order_equivalence, join_fanout_eager, sum_unsigned_wrap, column_stats, scan_tbl, scan_binary, export_roundtrip, generate_dummy, batch_in_order, batch_as_one_job, join_bucketed, init_list, export_forms, known_stats, text_round_trip, stream_of_queries)},
 }
 
 
@@ -180,6 +203,10 @@ def _oracles() -> dict[str, str]:
     out["column_stats"] = f"{duck_views()} " + " UNION ALL ".join(
         f'SELECT CAST({i} AS INTEGER) AS relation, CAST({k} AS INTEGER) AS "column", COUNT(*) AS "rows", MIN(c{k}) AS low, MAX(c{k}) AS high, COUNT(DISTINCT c{k}) AS "distinct" FROM r{i}' for i, k in columns
     )
+    out["known_stats"] = f"{duck_views()} " + " UNION ALL ".join(
+        f'SELECT CAST({i} AS INTEGER) AS relation, CAST({k} AS INTEGER) AS "column", COUNT(*) AS "rows", MIN(c{k}) AS low, MAX(c{k}) AS high FROM r{i}' for i, k in ((6, 0), (6, 4), (6, 5), (3, 1))
+    )
+    out["text_round_trip"] = " UNION ALL ".join(f"SELECT '{k}' AS name, '{t}' AS text" for k, t in TEXTS.items())
     out["scan_tbl"] = f"{duck_views()} SELECT * FROM r5"
     out["scan_binary"] = f"{duck_views()} SELECT * FROM r6"
     out["export_roundtrip"] = _sql("5 3|0.1=1.0&1.1=7|0.2 1.0")
@@ -189,7 +216,7 @@ def _oracles() -> dict[str, str]:
         spec = parse(TEXTS[k])
         line = " || ' ' || ".join(f"COALESCE(CAST(s{j} AS VARCHAR), 'NULL')" for j in range(len(spec.selections)))
         lines.append(f"SELECT CAST({i} AS BIGINT) AS ordinal, {line} AS line FROM ({spec.to_sql()}) q{i}")
-    out["batch_in_order"] = out["batch_as_one_job"] = f"{duck_views()} " + " UNION ALL ".join(lines)
+    out["batch_in_order"] = out["batch_as_one_job"] = out["stream_of_queries"] = f"{duck_views()} " + " UNION ALL ".join(lines)
     out["join_bucketed"] = out["join2_gt"]
     out["init_list"] = out["export_roundtrip"]
     out["export_forms"] = f"{duck_views()} " + " UNION ALL ".join(f"SELECT '{k}' AS form, COUNT(*) AS n, CAST(SUM(c0) AS BIGINT) AS s0, CAST(SUM(c1) AS BIGINT) AS s1 FROM r3" for k in ("binary", "ddl", "parquet", "tbl"))

@@ -48,4 +48,4 @@ def test_known_answers(spark):
 def test_entry_module_registers_everything():
     import __spark_entry__
 
-    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert set(ORACLE_SQL) == set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
