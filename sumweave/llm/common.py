@@ -44,7 +44,7 @@ def copies(rows: DataFrame, n: str, hot: bool, most: int = COPIES) -> DataFrame:
     each = F.greatest(F.lit(most), F.ceil(F.sqrt(n))).cast("long")
     ranges = rows.where(F.col(n) > most).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"), each)))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that adaptive execution doesn't join the small ranges again
-    ranges = ranges.repartition(parts, *(f"`{c}`" for c in ranges.columns))
+    ranges = ranges.repartition(parts, *(f"`{c}`" for c, kind in ranges.dtypes if "map<" not in kind))  # maps have no hash
     return few.unionByName(ranges.withColumn("copy", F.explode(F.sequence("copy", F.least(F.col("copy") + each - 1, F.col(n).cast("long"))))))
 
 

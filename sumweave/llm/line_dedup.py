@@ -42,8 +42,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     task, and its lines are dealt out by key like others.
 
     A key is known by two 64-bit hashes. Lines are exploded and hashed once: hashes, ids and positions are written to the
-    shared folder, and only these are shuffled by key, with partial aggregation first, and the join that finds the dropped lines is one that adaptive execution can split at a hot key; the texts are
-    shuffled once, by document.
+    shared folder, and only these are shuffled by key, with partial aggregation first, and the join that finds the dropped
+    lines is one that adaptive execution can split at a hot key; the texts are shuffled once, by document.
     """
     rows = docs.select("doc_id", "text").withColumns({"_id": id_key(F.col("doc_id")), "_th": F.xxhash64("text")})
     keys = written(
